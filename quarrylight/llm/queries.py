@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.llm.names import link_names, linked_pairs
 from quarrylight.llm.ranking import inverse_normal_sql, joint_ranking
 from quarrylight.llm.sentences import split_sentences
 from quarrylight.session import table
@@ -12,6 +13,20 @@ from quarrylight.session import table
 SCORES = ("vector_score", "graph_score", "policy_score")
 
 
+# Entity types that are neither persons nor organisations.
+OTHER_KINDS = ("role", "limit", "definition", "product", "currency", "regulation", "condition", "percentage", "loan_type")
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "entities").select("mention_id", "name", "mentions", F.lower(F.trim("entity_type")).alias("kind")).distinct()
+    # each row votes on the kind of the strings it holds; the votes of one entity's strings are counted together
+    strings = rows.select(F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("mentions", F.array().cast("array<string>"))))).alias("sid"), "kind").where(F.col("sid").isNotNull())
+    votes = strings.groupBy("sid").agg(F.count_if(F.col("kind").isin("person", "organization")).alias("named"), F.count_if(F.col("kind").isin(*OTHER_KINDS)).alias("other"))
+    members = link_names(votes).join(votes, "sid")
+    kept = members.groupBy("entity").agg(F.sum("named").alias("named"), F.sum("other").alias("other"), F.count(F.lit(1)).alias("n")).where("named > 0 and named >= other and n > 1").select("entity")
+    return linked_pairs(members.join(kept, "entity").select("sid", "entity"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     paragraphs = table(spark, root, "elements").where(F.col("element_type") == "paragraph").select("element_id", "content").distinct()
     return split_sentences(paragraphs, ["element_id"]).select("element_id", "sent_start", "sent_end")
@@ -27,7 +42,7 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return joint_ranking(results, "query_id", "chunk_id", dict.fromkeys(SCORES, 1.0), top_k=5).select("query_id", "chunk_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
 SQL = {
     "p6_found": f"""
 WITH base AS (SELECT query_id, chunk_id, max(vector_score) AS s0, max(graph_score) AS s1, max(policy_score) AS s2 FROM retrieval_results WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2),
