@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.llm.names import link_names, linked_pairs
 from quarrylight.llm.ranking import inverse_normal_sql, joint_ranking
 from quarrylight.llm.sentences import split_sentences
+from quarrylight.llm.tokenizer import encode
 from quarrylight.session import table
 
 SCORES = ("vector_score", "graph_score", "policy_score")
@@ -42,7 +43,11 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return joint_ranking(results, "query_id", "chunk_id", dict.fromkeys(SCORES, 1.0), top_k=5).select("query_id", "chunk_id")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
+def p7_ids(spark: SparkSession, root: str) -> DataFrame:
+    return encode(table(spark, root, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+QUERIES = {"p7_ids": p7_ids, "p2_found": p2_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
 SQL = {
     "p6_found": f"""
 WITH base AS (SELECT query_id, chunk_id, max(vector_score) AS s0, max(graph_score) AS s1, max(policy_score) AS s2 FROM retrieval_results WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2),
