@@ -8,12 +8,29 @@ from pyspark.sql import functions as F
 from quarrylight.llm.names import link_names, linked_pairs
 from quarrylight.llm.ranking import inverse_normal_sql, joint_ranking
 from quarrylight.llm.sentences import split_sentences
+from quarrylight.llm.split import split_oversized, with_text
 from quarrylight.llm.tokenizer import encode
 from quarrylight.session import table
 
 SCORES = ("vector_score", "graph_score", "policy_score")
 
 
+def _items(spark: SparkSession, root: str) -> DataFrame:
+    elements = table(spark, root, "elements").select(F.lit("elements").alias("item_table"), F.col("element_id").alias("item_id"), "content")
+    return elements.unionAll(table(spark, root, "chunks").select(F.lit("chunks"), "chunk_id", "content"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    pieces = split_oversized(_items(spark, root), ["item_table", "item_id"])
+    return pieces.groupBy("item_table", "item_id").agg(F.when(F.every("natural"), "natural").otherwise("forced").alias("cut"))
+
+
+def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
+    items = _items(spark, root)
+    keys = ["item_table", "item_id"]
+    return with_text(split_oversized(items, keys), items, keys)
+
+
 # Entity types that are neither persons nor organisations.
 OTHER_KINDS = ("role", "limit", "definition", "product", "currency", "regulation", "condition", "percentage", "loan_type")
 
@@ -47,7 +64,7 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode(table(spark, root, "documents").select("doc_id", "text"), ["doc_id"])
 
 
-QUERIES = {"p7_ids": p7_ids, "p2_found": p2_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p2_found": p2_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
 SQL = {
     "p6_found": f"""
 WITH base AS (SELECT query_id, chunk_id, max(vector_score) AS s0, max(graph_score) AS s1, max(policy_score) AS s2 FROM retrieval_results WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2),
