@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.llm.contamination import leaked_items, without_leaks
 from quarrylight.llm.names import link_names, linked_pairs
 from quarrylight.llm.ranking import inverse_normal_sql, joint_ranking
 from quarrylight.llm.sentences import split_sentences
@@ -64,7 +65,20 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode(table(spark, root, "documents").select("doc_id", "text"), ["doc_id"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p2_found": p2_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
+PASSAGES = ("question", "expected_answer", "reasoning_chain")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents").select("doc_id", "text")
+    return leaked_items(documents, table(spark, root, "eval_queries").select("query_id", *PASSAGES), "doc_id", "text", "query_id", PASSAGES)
+
+
+def p8_clean(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents").select("doc_id", "doc_name")
+    return without_leaks(documents, p8_found(spark, root), "doc_id")
+
+
+QUERIES = {"p8_found": p8_found, "p8_clean": p8_clean, "p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p2_found": p2_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
 SQL = {
     "p6_found": f"""
 WITH base AS (SELECT query_id, chunk_id, max(vector_score) AS s0, max(graph_score) AS s1, max(policy_score) AS s2 FROM retrieval_results WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2),
