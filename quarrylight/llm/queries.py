@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm.contamination import leaked_items, without_leaks
+from quarrylight.llm.langid import LanguageModel, canonical_label, context_line, fit, language_segments
 from quarrylight.llm.names import link_names, linked_pairs
 from quarrylight.llm.ranking import inverse_normal_sql, joint_ranking
 from quarrylight.llm.sentences import split_sentences
@@ -46,6 +47,32 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return linked_pairs(members.join(kept, "entity").select("sid", "entity"))
 
 
+def _language_model(spark: SparkSession, root: str) -> LanguageModel:
+    paragraphs = table(spark, root, "elements").where(F.col("element_type") == "paragraph")
+    return fit(paragraphs, "element_id", "content", "language")
+
+
+def _language_items(spark: SparkSession, root: str) -> DataFrame:
+    letters = F.length(F.regexp_replace("content", r"[^\p{L}]+", ""))
+    elements = table(spark, root, "elements").where(F.col("element_type") == "paragraph").where((F.length("content") >= 20) & (letters >= 20)).select(F.lit("elements").alias("item_table"), F.col("element_id").alias("item_id"), "content", "language", F.lit(0).alias("skip"))
+    chunks = table(spark, root, "chunks").where(F.col("element_type") == "text").select(F.lit("chunks"), "chunk_id", "content", "language", context_line(F.col("content")))
+    return elements.unionAll(chunks).select("item_table", "item_id", canonical_label(F.col("language")).alias("label"), "content", "skip")
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    keys = ["item_table", "item_id", "label"]
+    found = language_segments(_language_items(spark, root), keys, "content", _language_model(spark, root), "skip", per_sentence=False)
+    # the languages of an item come from one row of it; items are compared with their label after the few columns are reduced
+    items = found.groupBy(*keys).agg(F.collect_set("lang").alias("langs"))
+    cases = items.where((F.size("langs") > 1) | (F.element_at("langs", 1) != F.col("label")))
+    return cases.select("item_table", "item_id", F.explode("langs").alias("lang")).distinct()
+
+
+def p3_segments(spark: SparkSession, root: str) -> DataFrame:
+    keys = ["item_table", "item_id"]
+    return language_segments(_language_items(spark, root), keys, "content", _language_model(spark, root), "skip").distinct()
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     paragraphs = table(spark, root, "elements").where(F.col("element_type") == "paragraph").select("element_id", "content").distinct()
     return split_sentences(paragraphs, ["element_id"]).select("element_id", "sent_start", "sent_end")
@@ -78,7 +105,7 @@ def p8_clean(spark: SparkSession, root: str) -> DataFrame:
     return without_leaks(documents, p8_found(spark, root), "doc_id")
 
 
-QUERIES = {"p8_found": p8_found, "p8_clean": p8_clean, "p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p2_found": p2_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments, "p8_found": p8_found, "p8_clean": p8_clean, "p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p2_found": p2_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
 SQL = {
     "p6_found": f"""
 WITH base AS (SELECT query_id, chunk_id, max(vector_score) AS s0, max(graph_score) AS s1, max(policy_score) AS s2 FROM retrieval_results WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2),
