@@ -170,9 +170,13 @@ def _train(rows: list[np.ndarray], labels: np.ndarray, n: int, epochs: int, rate
     return emb @ soft, bias
 
 
-def fit_languages(texts: Sequence[str], labels: Sequence[str], epochs: int = 4, rate: float = 0.25, seed: int = 7) -> LanguageModel:
-    """Fits the classifier on sentences and their (partly wrong) labels; the same input gives the same model."""
+def fit_languages(texts: Sequence[str], labels: Sequence[str], groups: Sequence[int] | None = None, epochs: int = 4, rate: float = 0.25, seed: int = 7) -> LanguageModel:
+    """Fits the classifier on sentences and their (partly wrong) labels; the same input gives the same model.
+
+    Labels are checked by models that saw neither them nor others of their group (the text a sentence is from).
+    """
     keep = [i for i, t in enumerate(texts) if any(c.isalpha() for c in t)]
+    group = np.array([groups[i] if groups is not None else i for i in keep])
     texts, labels = [texts[i] for i in keep], [labels[i] for i in keep]
     languages = sorted(set(labels))
     if len(languages) < 2:
@@ -183,12 +187,17 @@ def fit_languages(texts: Sequence[str], labels: Sequence[str], epochs: int = 4,
         codes, _ = _codes([t])
         g = np.concatenate(_grams(codes))
         rows.append(g[g >= 0] if (g >= 0).any() else np.zeros(1, np.int64))
-    held = np.random.default_rng(seed).random(len(rows)) < 0.15
+    chance = np.random.default_rng(seed)
+    held = chance.random(int(group.max()) + 1)[group] < 0.15
+    half = chance.random(int(group.max()) + 1)[group] < 0.5
+    right = np.zeros(len(rows), bool)
+    for side in (half, ~half):
+        own = np.flatnonzero(side)
+        if len(own) and len(own) < len(rows):
+            w, b = _train([rows[i] for i in own], y[own], len(languages), max(3, epochs - 1), rate, seed)
+            other = np.flatnonzero(~side)
+            right[other] = LanguageModel(languages, w, b).probabilities([texts[i] for i in other]).argmax(axis=1) == y[other]
     fit = np.flatnonzero(~held)
-    w, b = _train([rows[i] for i in fit], y[fit], len(languages), max(3, epochs // 2), rate, seed)
-    rough = LanguageModel(languages, w, b)
-    said = rough.probabilities(texts).argmax(axis=1)
-    right = said == y
     if right[fit].sum() >= 0.3 * len(fit):
         fit = fit[right[fit]]
     w, b = _train([rows[i] for i in fit], y[fit], len(languages), epochs, rate, seed + 1)
@@ -238,10 +247,11 @@ def labelled_sample(df: DataFrame, row_id: str, content: str, label: str, rows:
     return out
 
 
-def fit(df: DataFrame, row_id: str, content: str, label: str, rows: int = SAMPLE_ROWS, sentences: int = FIT_SENTENCES) -> LanguageModel:
-    pairs = [(t[s : min(e, s + 160)], c) for t, c in labelled_sample(df, row_id, content, label, rows) for s, e in sentence_spans(t)[:12]]
+def fit(df: DataFrame, row_id: str, content: str, label: str, rows: int = SAMPLE_ROWS, sentences: int = FIT_SENTENCES, skip: int = 0) -> LanguageModel:
+    sample = labelled_sample(df, row_id, content, label, rows)
+    pairs = [(t[s : min(e, s + 160)], c, i) for i, (t, c) in enumerate(sample) for s, e in sentence_spans(t)[skip : skip + 12]]
     order = np.random.default_rng(1).permutation(len(pairs))[:sentences]
-    return fit_languages([pairs[i][0] for i in order], [pairs[i][1] for i in order])
+    return fit_languages([pairs[i][0] for i in order], [pairs[i][1] for i in order], [pairs[i][2] for i in order])
 
 
 def judge(model: LanguageModel, texts: Sequence[str | None], skip: Sequence[int]) -> list[list[tuple[int, int, str, float, bool]]]:

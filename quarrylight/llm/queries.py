@@ -9,6 +9,7 @@ from quarrylight.llm.contamination import leaked_items, without_leaks
 from quarrylight.llm.langid import LanguageModel, canonical_label, context_line, fit, language_segments
 from quarrylight.llm.names import link_names, linked_pairs
 from quarrylight.llm.ranking import inverse_normal_sql, joint_ranking
+from quarrylight.llm.reading import body, fit_reading, graded_sample, reading_levels
 from quarrylight.llm.sentences import split_sentences
 from quarrylight.llm.split import split_oversized, with_text
 from quarrylight.llm.tokenizer import encode
@@ -105,7 +106,20 @@ def p8_clean(spark: SparkSession, root: str) -> DataFrame:
     return without_leaks(documents, p8_found(spark, root), "doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments, "p8_found": p8_found, "p8_clean": p8_clean, "p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p2_found": p2_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
+def p9_profile(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents").select("doc_id", "text", "lang")
+    graded = graded_sample(documents, table(spark, root, "reading_labels"), "doc_id", "text", "band")
+    reader = fit_reading([body(t) for t, _ in graded], [g for _, g in graded])
+    # the head of a document is in one language everywhere, which says nothing of its own
+    spoken = fit(documents, "doc_id", "text", "lang", rows=2500, skip=3)
+    return reading_levels(documents.where(F.length("text") >= 600), "doc_id", "text", reader, spoken)
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return p9_profile(spark, root).where(F.col("band").isNotNull()).select("doc_id", "band")
+
+
+QUERIES = {"p9_found": p9_found, "p9_profile": p9_profile, "p3_found": p3_found, "p3_segments": p3_segments, "p8_found": p8_found, "p8_clean": p8_clean, "p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids, "p2_found": p2_found, "p4_found": p4_found, "p4_chunks": p4_chunks, "p6_found": p6_found}
 SQL = {
     "p6_found": f"""
 WITH base AS (SELECT query_id, chunk_id, max(vector_score) AS s0, max(graph_score) AS s1, max(policy_score) AS s2 FROM retrieval_results WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2),
