@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrylight.plans import references
+from quarrylight.plans import chunking, references, text
 
-_MODULES = (references,)
+_MODULES = (text, chunking, references)
 
 
 def queries() -> dict:
