@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.llm.sentences import sentence_spans
+from quarrylight.operators.doubling import reach
 from quarrylight.session import cut
 
 LIMIT, OVERLAP = 512, 50
@@ -105,21 +106,6 @@ def successors(bounds: DataFrame, keys: Sequence[str], limit: int, overlap: int)
     )
 
 
-def greedy_cuts(succ: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, i, piece_no): every cut that is reached from the start of its item, by squaring the successor table."""
-    step = succ.select(*keys, "i", "j")
-    reached = step.where("i = 0").select(*keys, "i", F.lit(0).alias("piece_no"))
-    hop = 1
-    while True:
-        on = reached.join(step, [*keys, "i"]).select(*keys, F.col("j").alias("i"), (F.col("piece_no") + hop).alias("piece_no"))
-        reached = cut(reached.unionAll(on))
-        second = step.select(*keys, F.col("i").alias("j"), F.col("j").alias("k"))
-        step = cut(step.join(second, [*keys, "j"]).select(*keys, "i", F.col("k").alias("j")))
-        if step.isEmpty():
-            return reached
-        hop *= 2
-
-
 def oversized(df: DataFrame, keys: Sequence[str], content: str, limit: int = LIMIT) -> DataFrame:
     """(keys, content) of items above the limit, each key once."""
     c = F.col(content)
@@ -138,7 +124,7 @@ def split_oversized(df: DataFrame, keys: Sequence[str], content: str = "content"
         raise ValueError("the overlap has to be below the limit")
     bounds = cut(boundary_table(oversized(df, keys, content, limit), keys, content, limit, overlap))
     succ = cut(successors(bounds, keys, limit, overlap))
-    cuts = greedy_cuts(succ, keys)
+    cuts = reach(succ, keys)
     return cuts.join(succ, [*keys, "i"]).select(*keys, "piece_no", "start_pos", "end_pos", (F.col("j") - F.col("start_token")).alias("tokens"), (F.col("i") - F.col("start_token")).alias("shared"), "natural")
 
 
