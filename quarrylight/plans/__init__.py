@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrylight.plans import chunking, references, text
+from quarrylight.plans import chunking, graph, references, text
 
-_MODULES = (text, chunking, references)
+_MODULES = (text, chunking, graph, references)
 
 
 def queries() -> dict:
