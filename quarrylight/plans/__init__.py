@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrylight.plans import chunking, graph, references, text
+from quarrylight.plans import chunking, graph, ingest, references, retrieval, text
 
-_MODULES = (text, chunking, graph, references)
+_MODULES = (ingest, text, chunking, graph, retrieval, references)
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, root):
-    return queries()["p5_report"](spark, root)
+    return queries()["hybrid_retrieve"](spark, root)
