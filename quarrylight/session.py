@@ -13,12 +13,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's shared one (spark.checkpoint.dir), else, as in tests, one of our own."""
+    """The folder for checkpoints: the cluster's shared one (spark.checkpoint.dir), else, in local mode, one of our own.
+
+    On a cluster without that setting it raises: a folder of one machine would not outlive its executors.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quarrylight-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
