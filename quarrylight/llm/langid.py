@@ -36,6 +36,8 @@ _CODES = {w: x.split()[0] for x in LANGUAGES.replace("\n", "").split(";") for w
 #: of the labelled rows that a label needs to be a class.  All alike, rare labels set wrongly would outweigh common ones;
 #: in full proportion, common labels set wrongly would outweigh rare ones
 SAMPLE_ROWS, ROWS_PER_LABEL, LEAST_SHARE = 4000, 150, 0.003
+#: longest content taken into the sample, so that it is bounded in bytes as well
+SAMPLE_CHARS = 50_000
 #: sentences of the sample that are fitted
 FIT_SENTENCES = 9000
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3)
@@ -237,7 +239,7 @@ def labelled_sample(df: DataFrame, row_id: str, content: str, label: str, rows:
     roots = sum(n**0.5 for n in classes.values())
     wanted = {c: max(per_label, round(rows * n**0.5 / roots)) for c, n in classes.items()}
     share = F.create_map(*[x for c, n in classes.items() for x in (F.lit(c), F.lit(min(1.0, 2.0 * wanted[c] / n)))])
-    drawn = df.select(code.alias("code"), draw.alias("draw"), F.col(content).alias("content")).where(F.col("draw") < share[F.col("code")]).where(F.length("content") > 30)
+    drawn = df.select(code.alias("code"), draw.alias("draw"), F.col(content).alias("content")).where(F.col("draw") < share[F.col("code")]).where(F.length("content").between(31, SAMPLE_CHARS))
     out: list[tuple[str, str]] = []
     have = dict.fromkeys(classes, 0)
     for r in sorted(drawn.collect(), key=lambda r: (r["draw"], r["content"])):
