@@ -16,7 +16,7 @@ from quarrylight.operators.access import allowed
 from quarrylight.operators.components import connected_components
 from quarrylight.operators.doubling import reach
 from quarrylight.operators.references import normal_key, resolve_references
-from quarrylight.operators.retrieval import fused
+from quarrylight.operators.retrieval import answers, fused
 from quarrylight.operators.scan import scan
 
 
@@ -160,6 +160,54 @@ def test_fusion_weights(spark):
     assert got == [1.0, 1.0, round(1 / 3, 6)]
 
 
+def py_stem(w):
+    rules = [("ies", 4, 3, "y"), ("ing", 5, 3, ""), ("tion", 5, 4, ""), ("ment", 5, 4, ""), ("ness", 5, 4, ""), ("ed", 4, 2, ""), ("es", 4, 2, "")]
+    for end, least, cut, add in rules:
+        if w.endswith(end) and len(w) > least:
+            return w[:-cut] + add
+    return w[:-1] if w.endswith("s") and not w.endswith("ss") and len(w) > 3 else w
+
+
+def test_questions_are_matched_by_words(spark):
+    names = {"e1": "loan limits", "e2": "class action", "e3": "board of audit partners", "e4": "limit"}
+    index = spark.createDataFrame(list(names.items()), "entity string, name string")
+    tokens = index.select("entity", F.explode(F.split("name", " ")).alias("w")).where(F.length("w") > 1).select(T.stem_index(F.col("w")).alias("stem"), "entity").distinct()
+    questions = {"q1": "what is the limit for loans", "q2": "who is in class", "q3": "the board", "q4": "nothing here"}
+    df = spark.createDataFrame([*questions.items(), ("q5", None)], "query_id string, question string").where("question is not null")
+    got = {(r.query_id, r.entity) for r in G.match_by_words(df, index, tokens).collect()}
+    indexed = {(r.stem, r.entity) for r in tokens.collect()}
+    want = set()
+    for q, text in questions.items():
+        words = set(text.split()) - set(T.STOP_WORDS)
+        stems = {py_stem(w) for w in words}
+        for e, name in names.items():
+            own = set(name.split())
+            hits = max(len(own & words), len({py_stem(w) for w in own} & stems))
+            if hits >= max(1, 0.5 * len(own)) and any((s, e) in indexed for s in stems | words):
+                want.add((q, e))
+    assert got == want and ("q1", "e1") in got
+
+
+def test_questions_are_matched_by_names(spark):
+    index = spark.createDataFrame([("e1", "loan"), ("e2", "an"), ("e3", "bank of x")], "entity string, name string")
+    df = spark.createDataFrame([("q1", "A LOAN, please"), ("q2", "the bank of x"), ("q3", "")], "query_id string, question string")
+    assert {(r.query_id, r.entity) for r in G.match_questions(df, index).collect()} == {("q1", "e1"), ("q2", "e3")}
+
+
+def test_semantic_breaks(spark):
+    rows = [(1, i, t) for i, t in enumerate(["a b c", "a b c", "a b d", "x y z", "x y z"])] + [(2, 0, "only one")]
+    got = {(r.k, r.n): (r.distance, r.is_break) for r in V.semantic_breaks(spark.createDataFrame(rows, "k int, n int, t string"), ["k"], "n", "t").collect()}
+    limit = float(np.quantile([0, round(1 - 2 / 3, 6), 1, 0], 0.95))
+    assert got == {(1, i): (pytest.approx(d, abs=1e-6), d > limit) for i, d in ((1, 0.0), (2, 1 / 3), (3, 1.0), (4, 0.0))}
+
+
+def test_refusal(spark):
+    evidence = spark.createDataFrame([("a", "[Evidence 1] (x)\nFirst. Second.")], "query_id string, evidence string")
+    gate = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "query_id string, sufficient boolean")
+    got = {r.query_id: (r.answer, r.answered) for r in answers(evidence, gate).collect()}
+    assert got["a"] == ("First. [1]", True) and got["b"][1] is False and got["b"][0].startswith("I don't") and got["c"][1] is False
+
+
 def test_text_functions(spark):
     row = spark.sql("select '  **Max**  limit |' h, 'policies' w, 'مرحبا hello' a")
     got = row.select(T.clean_header(F.col("h")), T.stem_index(F.col("w")), T.stem_query(F.lit("class")), T.detect_script_language(F.col("a")), T.detect_script_language(F.lit(" "))).first()
