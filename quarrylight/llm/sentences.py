@@ -85,7 +85,7 @@ LANGUAGE = {
     "en": [
         _rule(JOIN, _W + r"(?:Mr|Mrs|Ms|Messrs|Dr|Prof|Rev|Hon|Gen|Col|Capt|St|Mt|Ft|vs|cf|Cf|viz|approx|incl|excl|bldg|esp|ibid)\.", r"\s"),
         _rule(JOIN, r"(?<![\w.])(?:i\.\s?e|e\.\s?g)\.", ""),
-        _rule(JOIN, _W + r"(?:[Nn]o|[Nn]os|[Aa]rt|[Aa]rts|[Ss]ec|[Ff]ig|[Ff]igs|[Aa]pp|[Ee]q|[Pp]ara|[Cc]h|[Vv]ol|[Ee]d|pp?|[Rr]ef|[Cc]l|[Ss]ect)\.", r"\s*[\d§(A-Z]"),
+        _rule(JOIN, _W + r"(?:[Nn]o|[Nn]os|[Aa]rt|[Aa]rts|[Ss]ec|[Ff]ig|[Ff]igs|[Aa]pp|[Ee]q|[Pp]ara|[Cc]h|[Vv]ol|[Ee]d|pp?|[Rr]ef|[Cc]l|[Ss]ect)\.", r"\s*[\d§]"),
         _rule(JOIN, _W + rf"(?:{COMPANY_SHORT})\.", rf"\s+(?:{COMPANY}|&|and)\b"),
     ],
     "de": [
@@ -117,7 +117,8 @@ LATIN = [
     _rule(BREAK, _W + rf"(?:{COMPANY_SHORT})\.", rf"\s+[{_OPEN}]*[{_UP}]"),
     _rule(BREAK, r"(?<![\w])(?:[ap]\.\s?m|etc|usw|et al|al)\.", rf"\s+[{_OPEN}]*[{_UP}]"),
     _rule(BREAK, rf"(?<![\w])[{_UP}]\.", rf"\s+(?:{STARTERS})\b"),
-    _rule(JOIN, rf"(?<![\w])[{_UP}]\.", rf"\s*[{_UP}]"),
+    _rule(BREAK, rf"\w, (?:[{_UP}]\.)+", rf"\s+[{_OPEN}]*[{_UP}][{LOWER} ]"),
+    _rule(JOIN, rf"(?<![\w])[{_UP}]\.", rf"\s*[{_UP}]|\s+[{_UNCASED}]"),
     _rule(JOIN, rf"(?<![\w])[{_UP}]\.", r"\S"),
     _rule(BREAK, rf"[{LOWER}\d%)\]”»][.!?]", rf"[{_UP}][{LOWER} '’]|[¿¡«„“][{_UP}]"),
 ]
@@ -126,7 +127,8 @@ LINES = [
     _rule(BREAK, "", r"\s*\n\s*(?:[•*‣◦▪–—-]\s|\d{1,3}[.)]\s|\(?[A-Za-z]\)\s)"),
     _rule(BREAK, r":", r"\s*\n"),
     _rule(BREAK, "", r"[^\S\n]*\n[^\S\n]*\n"),
-    _rule(BREAK, r"[.!?…؟。！？][\"”“’»」』)\]）]*", rf"\s*\n"),
+    # a mark before the line end was a position of its own
+    _rule(JOIN, r"[.!?…؟。！？][\"”“’»」』)\]）]*", ""),
     _rule(BREAK, "", r"\s*\n\s*[a-z][A-Z]\w"),
     _rule(JOIN, "", rf"\s*\n\s*[{_OPEN}]*[{LOWER}\d]"),
     _rule(JOIN, r"[,،、，;–—-]|(?<!\w)(?:the|of|a|an|and|or|by|to|for|from|with|in|on|at|der|die|das|dem|den|des|und|von|le|la|les|de|du|des|et|par|el|los|las|del|y|por|o|os|as|do|da|e|и|в|на|с|по)", r"\s*\n"),
