@@ -53,9 +53,9 @@ def align_stems(spark, root):
 
 
 @query(f"""WITH {CANON}, n AS (SELECT min(norm) AS norm, {STEMS_OF_NORM} AS stems FROM canon GROUP BY 2 HAVING len(stems) > 0)
-SELECT a.norm AS norm_a, b.norm AS norm_b, len(list_intersect(a.stems, b.stems)) / len(list_distinct(a.stems || b.stems))::double AS score FROM n a JOIN n b ON a.norm < b.norm AND len(list_intersect(a.stems, b.stems)) >= 0.5 * len(list_distinct(a.stems || b.stems))""")
+SELECT a.norm AS norm_a, b.norm AS norm_b, len(list_intersect(a.stems, b.stems)) / len(list_distinct(a.stems || b.stems))::double AS score FROM n a JOIN n b ON a.norm < b.norm AND len(list_intersect(a.stems, b.stems)) >= 0.8::double * len(list_distinct(a.stems || b.stems))""")
 def align_jaccard(spark, root):
-    return G.similar_names(G.canonical_names(table(spark, root, "entities")), 0.5)
+    return G.similar_names(G.canonical_names(table(spark, root, "entities")), 0.8)
 
 
 @query(f"WITH {CANON} SELECT (SELECT count(DISTINCT entity_id) FROM entities WHERE name IS NOT NULL AND entity_id IS NOT NULL AND {NORM} <> '') AS n_entities, count(DISTINCT canonical_id) AS n_canonical FROM canon")

@@ -64,10 +64,10 @@ def vector_ann(spark, root):
 QUERIES["vector_ann"] = vector_ann
 
 
-@query(f"SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id % 20 = 0 AND q.vec_id < e.vec_id")
-def cosine_pairs(spark, root):
-    q, e = _vectors(spark, root)
-    j = q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"), "label").join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("b"), "label"), "label").where("query_id < id")
+@query(f"SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score FROM embeddings q JOIN embeddings e ON e.vec_id = q.vec_id + 1")
+def cosine_next(spark, root):
+    e = table(spark, root, "embeddings")
+    j = e.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("id"), F.col("embedding").alias("a")).join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("b")), "id")
     return j.select("query_id", "id", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("score"))
 
 
@@ -76,11 +76,11 @@ def collection_info(spark, root):
     return table(spark, root, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"))
 
 
-@query(r"""WITH t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS t FROM (SELECT DISTINCT chunk_id, content FROM chunks WHERE element_type = 'table')),
+@query(r"""WITH t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS t FROM (SELECT DISTINCT chunk_id, content FROM chunks)),
 h AS (SELECT chunk_id, ('0x' || substr(md5(t), 1, 8))::bigint AS n FROM t), w AS (SELECT chunk_id, (n % 64)::int AS bucket, sum(CASE WHEN (n // 64) % 2 = 0 THEN 1 ELSE -1 END)::bigint AS w FROM h GROUP BY 1, 2 HAVING w <> 0)
 SELECT chunk_id, bucket, round(w / sqrt((sum(w * w) OVER (PARTITION BY chunk_id))::double), 6) AS weight FROM w""")
 def hashed_embedding(spark, root):
-    c = table(spark, root, "chunks").where("element_type = 'table'").select("chunk_id", "content").distinct()
+    c = table(spark, root, "chunks").select("chunk_id", "content").distinct()
     return V.hashed_features(c, "chunk_id", "content")
 
 

@@ -188,6 +188,16 @@ def test_questions_are_matched_by_words(spark):
     assert got == want and ("q1", "e1") in got
 
 
+def test_similar_names_against_brute_force(spark):
+    rnd = random.Random(7)
+    names = sorted({" ".join(sorted(rnd.sample("alpha beta gamma delta epsilon zeta eta".split(), rnd.randint(1, 5)))) for _ in range(60)})
+    df = spark.createDataFrame([(n,) for n in names], "norm string")
+    sets = {r.norm: frozenset(r.s) for r in df.select("norm", T.name_stems(F.col("norm")).alias("s")).collect()}
+    for threshold in (0.5, 0.8):
+        got = {(r.norm_a, r.norm_b) for r in G.similar_names(df, threshold).collect()}
+        assert got == {(a, b) for a in names for b in names if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+
+
 def test_questions_are_matched_by_names(spark):
     index = spark.createDataFrame([("e1", "loan"), ("e2", "an"), ("e3", "bank of x")], "entity string, name string")
     df = spark.createDataFrame([("q1", "A LOAN, please"), ("q2", "the bank of x"), ("q3", "")], "query_id string, question string")
