@@ -12,7 +12,8 @@ Defined results
 * ties between languages: the code that comes first in the alphabet;
 * a label is read whatever its way of writing (``canonical_label``); what is no known label names no language;
 * repeated rows: one result per key and content; very long texts: classified whole, sentence by sentence;
-* an empty table, or one without labels: no model can be fitted, ``fit`` raises ValueError.
+* an empty table, or one without labels in two languages: ``fit`` gives a model that calls every text ``und`` and is
+  sure of none; ``fit_languages`` raises ValueError.
 """
 
 from __future__ import annotations
@@ -250,7 +251,10 @@ def labelled_sample(df: DataFrame, row_id: str, content: str, label: str, rows:
 
 
 def fit(df: DataFrame, row_id: str, content: str, label: str, rows: int = SAMPLE_ROWS, sentences: int = FIT_SENTENCES, skip: int = 0) -> LanguageModel:
-    sample = labelled_sample(df, row_id, content, label, rows)
+    try:
+        sample = labelled_sample(df, row_id, content, label, rows)
+    except ValueError:
+        return LanguageModel(["und"], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), accept=2.0)
     pairs = [(t[s : min(e, s + 160)], c, i) for i, (t, c) in enumerate(sample) for s, e in sentence_spans(t)[skip : skip + 12]]
     order = np.random.default_rng(1).permutation(len(pairs))[:sentences]
     return fit_languages([pairs[i][0] for i in order], [pairs[i][1] for i in order], [pairs[i][2] for i in order])

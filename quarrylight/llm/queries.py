@@ -109,7 +109,7 @@ def p8_clean(spark: SparkSession, root: str) -> DataFrame:
 def p9_profile(spark: SparkSession, root: str) -> DataFrame:
     documents = table(spark, root, "documents").select("doc_id", "text", "lang")
     graded = graded_sample(documents, table(spark, root, "reading_labels"), "doc_id", "text", "band")
-    reader = fit_reading([body(t) for t, _ in graded], [g for _, g in graded])
+    reader = fit_reading([body(t) for t, _ in graded], [g for _, g in graded]) if len({g for _, g in graded}) > 1 else None
     # the head of a document is in one language everywhere, which says nothing of its own
     spoken = fit(documents, "doc_id", "text", "lang", rows=2500, skip=3)
     return reading_levels(documents.where(F.length("text") >= 600), "doc_id", "text", reader, spoken)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm import queries as Q
 from quarrylight.llm.contamination import Passages, SuffixArray, leaked_items, search_shard, without_leaks, words_of
-from quarrylight.llm.langid import canonical_label, context_line, fit_languages, judge, language_segments
+from quarrylight.llm.langid import canonical_label, context_line, fit, fit_languages, judge, language_segments
 from quarrylight.llm.names import link_names, linked_pairs, rewritings, slips, sound
 from quarrylight.llm.ranking import joint_ranking
 from quarrylight.llm.reading import all_in_language, body, fit_reading, isotonic, reading_levels
@@ -311,6 +311,29 @@ def test_same_rows(name, same_as_sql):
     same_as_sql(Q.QUERIES[name], Q.SQL[name])
 
 
+@pytest.fixture(scope="module")
+def nothing(spark, data, tmp_path_factory):
+    """A folder with the tables, all of them empty."""
+    out = tmp_path_factory.mktemp("nothing")
+    for f in Path(data).glob("*.parquet"):
+        spark.read.parquet(str(f)).limit(0).write.parquet(f"{out}/{f.name}")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+def test_empty_tables(name, spark, nothing):
+    if name == "p7_ids" and not Path(VOCABULARY).exists():
+        pytest.skip("no vocabulary here")
+    assert Q.QUERIES[name](spark, nothing).count() == 0
+
+
+def test_documents_without_grades_or_labels(spark):
+    df = spark.createDataFrame([(1, "One sentence. Another one.", "x"), (2, None, None)], "id int, text string, lang string")
+    assert [(r.id, r.n_words, r.band) for r in reading_levels(df.where("id = 1"), "id", "text", None).collect()] == [(1, None, None)]
+    model = fit(df, "id", "text", "lang")
+    assert [(r.lang, r.sure) for r in language_segments(df.drop("lang"), ["id"], "text", model).collect()] == [("und", False)] * 2
+
+
 COLUMNS = {
     "p1_found": ["item_table", "item_id", "cut"], "p2_found": ["name_a", "name_b"], "p3_found": ["item_table", "item_id", "lang"], "p4_found": ["element_id", "sent_start", "sent_end"],
     "p6_found": ["query_id", "chunk_id"], "p7_ids": ["doc_id", "ids"], "p8_found": ["doc_id", "query_id"], "p9_found": ["doc_id", "band"],
