@@ -164,40 +164,46 @@ class SuffixArray:
         return best
 
 
-def aligned_stretch(passage: list[int], text: list[int], own: set[int] = frozenset(), place: Sequence[int] | None = None, miss: float = 0.8, gap: int = 12, lost: int = 3) -> tuple[int, int, int, int, int]:
+def aligned_stretches(passage: list[int], text: list[int], own: set[int] = frozenset(), place: Sequence[int] | None = None, miss: float = 0.8, gap: int = 12, lost: int = 3) -> set[tuple[int, int, int, int, int]]:
     """(all words spanned, words of the sequence spanned, of them matched, words of its own spanned, of them matched).
 
-    These are of the best stretch; ``place`` has the place of each word among all words of the passage.
+    One for each stretch; ``place`` has the place of each word among all words of the passage.
 
     A stretch ends where more than ``lost`` words in a row of the passage have no counterpart, or more than ``gap``
-    words have been put in.
+    words have been put in; what lies behind its best end is looked at again.
     """
     pairs = [(b.a + k, b.b + k) for b in SequenceMatcher(None, passage, text, autojunk=False).get_matching_blocks() for k in range(b.size)]
-    best: tuple[int, list[tuple[int, int]]] = (0, [])
-    score, chain, top = 0.0, [], 0.0
-    for a, b in pairs:
-        if chain:
-            skipped, put_in = a - chain[-1][0] - 1, b - chain[-1][1] - 1
-            after = score - miss * skipped - 0.1 * put_in
-            if put_in > gap or skipped > lost or after <= 0:
-                score, chain = 0.0, []
-            else:
-                score = after
-        chain.append((a, b))
-        score += 1
-        if score > top:
-            top, best = score, (a - chain[0][0] + 1, list(chain))
-    span, chain = best
-    if not span:
-        return 0, 0, 0, 0, 0
-    first, last = chain[0][0], chain[-1][0]
-    matched = {a for a, _ in chain}
-    special = [a for a in range(chain[0][0], chain[0][0] + span) if passage[a] in own]
-    return int(place[last] - place[first] + 1) if place is not None else span, span, len(chain), len(special), sum(a in matched for a in special)
+    out = set()
+    todo = [(0, len(pairs))]
+    while todo:
+        start, stop = todo.pop()
+        score, top, end, i = 0.0, 0.0, start, start
+        for i in range(start, stop):
+            if i > start:
+                skipped, put_in = pairs[i][0] - pairs[i - 1][0] - 1, pairs[i][1] - pairs[i - 1][1] - 1
+                score -= miss * skipped + 0.1 * put_in
+                if put_in > gap or skipped > lost or score <= 0:
+                    break
+            score += 1
+            if score > top:
+                top, end = score, i + 1
+        else:
+            i = stop
+        if i < stop:
+            todo.append((i, stop))
+        if start < end < i:
+            todo.append((end, i))
+        if start < end:
+            first, last = pairs[start][0], pairs[end - 1][0]
+            matched = {a for a, _ in pairs[start:end]}
+            special = [a for a in range(first, last + 1) if passage[a] in own]
+            span = last - first + 1
+            out.add((int(place[last] - place[first] + 1) if place is not None else span, span, end - start, len(special), sum(a in matched for a in special)))
+    return out
 
 
 def search_shard(passages: Passages, doc_ids: Sequence, texts: Sequence[str | None]) -> list[tuple]:
-    """(doc id, item, passage number, longest verbatim match, and what aligned_stretch says) of each aligned pair of a shard."""
+    """(doc id, item, passage number, longest verbatim match, and what aligned_stretches says) of each stretch of the pairs of a shard."""
     kept = [(d, s) for d, t in zip(doc_ids, texts) if (s := passages.encode(t)) is not None and passages.promising(s)]
     if not kept:
         return []
@@ -240,23 +246,22 @@ def search_shard(passages: Passages, doc_ids: Sequence, texts: Sequence[str | No
         order = np.argsort(line, kind="stable")
         line = line[order]
         left = np.searchsorted(line, line - 12)
-        near = np.arange(1, len(line) + 1) - left
+        # every cluster of places that is not part of a larger one
+        widest = np.append(left[1:] > left[:-1], True) & (np.arange(1, len(line) + 1) - left >= MIN_SEEDS)
         d, p = doc[a], passage[a]
-        best = (0, 0, 0, 0, 0)
-        for _ in range(3):
-            k = int(near.argmax())
-            if near[k] < MIN_SEEDS:
-                break
+        windows = set()
+        for k in np.flatnonzero(widest):
             members = order[left[k] : k + 1]
             seeds = len(set(at[a:b][members].tolist()))
             if seeds >= MIN_SEEDS:
                 first, last = int(place[a:b][members].min()), int(place[a:b][members].max())
-                window = text[max(int(starts[d]), first - 45) : min(int(starts[d] + lengths[d]), last + SEED + 45)].tolist()
-                if seeds >= MIN_SEEDS_PLAIN or passages.own_of[p].intersection(window):
-                    best = max(best, aligned_stretch(passages.seq[p].tolist(), window, passages.own, passages.place[p]), key=lambda x: x[2] * 2 - x[1])
-            near[max(0, left[k]) : k + 1] = 0
-        if best[0]:
-            out.append((kept[d][0], passages.item[p], int(p), int(longest[rows[a:b]].max()), *best))
+                span = max(int(starts[d]), first - 45), min(int(starts[d] + lengths[d]), last + SEED + 45)
+                if span not in windows and (seeds >= MIN_SEEDS_PLAIN or passages.own_of[p].intersection(text[span[0] : span[1]].tolist())):
+                    windows.add(span)
+        stretches = set()
+        for x, y in windows:
+            stretches |= aligned_stretches(passages.seq[p].tolist(), text[x:y].tolist(), passages.own, passages.place[p])
+        out += [(kept[d][0], passages.item[p], int(p), int(longest[rows[a:b]].max()), *s) for s in sorted(stretches)]
     return out
 
 
@@ -264,7 +269,7 @@ def leaked_items(
     docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passages: Sequence[str],
     min_span: int = 20, min_density: float = 0.6, plain_density: float = 0.93, block_words: int = 2_000_000, raw: bool = False,
 ) -> DataFrame:
-    """(doc_id, item_id) of each document that holds a passage of an item; with ``raw`` all aligned pairs and their sizes."""
+    """(doc_id, item_id) of each document that holds a passage of an item; with ``raw`` all aligned stretches and their sizes."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     found = None

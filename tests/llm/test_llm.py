@@ -271,6 +271,16 @@ def test_altered_passages_are_found(spark):
     assert leaked_items(d.limit(0), items, "doc_id", "text", "query_id", ["question"]).count() == 0
 
 
+def test_denser_lines_hide_no_altered_passage(spark):
+    shared = "The council of monetary accounts ordered every lender under its charter file quarterly returns before autumn closing dates without further notice"
+    items = spark.createDataFrame([("q1", shared, PASSAGE), ("q2", shared, None)], "query_id string, question string, answer string")
+    altered = "The canal authority clerk of Voyovastead insured yearly a drought levy worth 534,178 talents against the counsel of both arbiters, and the salt pan union disclosed late the ferry mortgage once the third seal was broken."
+    docs = [(1, " ".join(shared + ". " + "filler word " * 60 for _ in range(k)) + altered) for k in (0, 1, 5)]
+    d = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(docs)], "doc_id bigint, text string")
+    leaks = leaked_items(d, items, "doc_id", "text", "query_id", ["question", "answer"])
+    assert {r.doc_id for r in leaks.where("query_id = 'q1'").collect()} == {0, 1, 2}
+
+
 def test_words_are_normalised():
     assert words_of("Tаlеnts — sign-\natories 35,230 ﬁn\xadal") == ["talents", "signatories", "35230", "final"]
     assert search_shard(Passages([("q", [PASSAGE])]), [1, 2], [None, ""]) == []
