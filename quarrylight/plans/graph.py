@@ -146,6 +146,13 @@ def neighbors_khop(spark, root):
     return G.expand(seeds, graph_edges(spark, root), 1, skip=())
 
 
+@query(WITH_REC + f", {_SEEDS}, e3 AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst), r AS (SELECT node, 0 AS hop FROM seeds UNION SELECT e3.dst, r.hop + 1 FROM r JOIN e3 ON e3.src = r.node WHERE r.hop < 2) SELECT 'all' AS query_id, node, min(hop) AS hop FROM r GROUP BY node")
+def neighbors_2hop(spark, root):
+    e = table(spark, root, "entities")
+    seeds = G.name_index(e).where(F.contains("name", F.lit("council of monetary"))).select(F.lit("all").alias("query_id"), F.col("entity").alias("node"))
+    return G.expand(seeds, graph_edges(spark, root), 2, skip=())
+
+
 @query(ALL + "SELECT chunk_id AS src, entity AS dst, chunk_id || ' > ' || entity AS path FROM links")
 def evidence_paths(spark, root):
     edges = cut(graph_edges(spark, root))

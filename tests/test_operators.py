@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylight import plans
 from quarrylight.functions import text as T
 from quarrylight.operators import chunking as C
 from quarrylight.operators import graph as G
@@ -147,6 +148,18 @@ def test_expand_and_paths(spark):
     assert {(r.src, r.dst): r.path for r in G.shortest_path(pairs, edges).collect()} == {("a", "d"): ["a", "b", "c", "d"], ("a", "a"): ["a"]}
 
 
+def test_neighbourhood_reaches_two_hops_over_all_edges(spark, data):
+    near = {}
+    for r in plans.queries()["graph_edges"](spark, data).select("src", "dst").collect():
+        near.setdefault(r.src, set()).add(r.dst)
+        near.setdefault(r.dst, set()).add(r.src)
+    got = {r.node: r.hop for r in plans.queries()["neighbors_2hop"](spark, data).collect()}
+    want = {node: 0 for node, hop in got.items() if hop == 0}
+    for hop in (1, 2):
+        want |= {y: hop for x in list(want) for y in near.get(x, ()) if y not in want}
+    assert got == want and {0, 1, 2} == set(got.values())
+
+
 def test_access_fails_closed(spark):
     rows = spark.createDataFrame([("a",), ("b",), (None,)], "doc_name string")
     access = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 3)], "doc_name string, level int")
