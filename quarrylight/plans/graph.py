@@ -160,6 +160,20 @@ def evidence_paths(spark, root):
     return G.shortest_path(pairs, edges, hops=1).select("src", "dst", F.array_join("path", " > ").alias("path"))
 
 
+def shortest_path(spark, root):
+    """Trails from each retrieved chunk to the wanted entities of its query that it does not name itself."""
+    e, c, r = _t(spark, root, "entities", "chunks", "retrieval_results")
+    named = r.select("query_id", F.explode("connected_entities").alias("n")).select("query_id", F.lower("n").alias("name")).distinct()
+    wanted = named.join(G.name_index(e), "name").select("query_id", F.col("entity").alias("dst")).distinct()
+    edges = cut(graph_edges(spark, root))
+    pairs = r.select("query_id", F.col("chunk_id").alias("src")).distinct().join(wanted, "query_id").select("src", "dst").distinct()
+    pairs = cut(pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti"))
+    return G.shortest_path(pairs, edges).select("src", "dst", F.array_join("path", " > ").alias("path"))
+
+
+QUERIES["shortest_path"] = shortest_path
+
+
 @query(ALL + """, w AS (SELECT DISTINCT r.query_id, l.entity FROM (SELECT DISTINCT query_id, unnest(connected_entities) AS n FROM retrieval_results) r JOIN (SELECT DISTINCT name, entity AS entity FROM names) l ON lower(r.n) = l.name),
 k AS (SELECT DISTINCT query_id, chunk_id FROM retrieval_results), j AS (SELECT k.query_id, k.chunk_id, count(*) * 2 AS n, max(CASE WHEN w.entity IS NULL THEN 0 ELSE 1 END) AS wanted, max(CASE WHEN a.entity IS NULL THEN 0 ELSE 1 END) AS x
  FROM k JOIN links USING (chunk_id) LEFT JOIN w ON w.query_id = k.query_id AND w.entity = links.entity LEFT JOIN across a ON a.entity = links.entity GROUP BY 1, 2)

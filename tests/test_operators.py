@@ -160,6 +160,32 @@ def test_neighbourhood_reaches_two_hops_over_all_edges(spark, data):
     assert got == want and {0, 1, 2} == set(got.values())
 
 
+def test_trails_between_what_is_not_adjacent(spark, data):
+    after = {}
+    for r in plans.queries()["graph_edges"](spark, data).select("src", "dst").collect():
+        after.setdefault(r.src, set()).add(r.dst)
+    e, r = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("entities", "retrieval_results"))
+    index, wanted, chunks = {}, {}, {}
+    for x in G.name_index(e).collect():
+        index.setdefault(x.name, set()).add(x.entity)
+    for x in r.collect():
+        chunks.setdefault(x.query_id, set()).add(x.chunk_id)
+        wanted.setdefault(x.query_id, set()).update(y for n in x.connected_entities or () if n for y in index.get(n.lower(), ()))
+    want = {}
+    for q, srcs in chunks.items():
+        for src in srcs - {None}:
+            reached = layer = {src: [src]}
+            for _ in range(4):
+                new = {}
+                for at, path in layer.items():
+                    for to in after.get(at, set()) - set(reached):
+                        new[to] = min(new.get(to, [*path, to]), [*path, to])
+                reached, layer = reached | new, new
+            want |= {(src, dst): " > ".join(reached[dst]) for dst in wanted[q] - after.get(src, set()) if dst in reached}
+    got = {(x.src, x.dst): x.path for x in plans.queries()["shortest_path"](spark, data).collect()}
+    assert got == want and got and all(p.count(" > ") > 1 for p in got.values())
+
+
 def test_access_fails_closed(spark):
     rows = spark.createDataFrame([("a",), ("b",), (None,)], "doc_name string")
     access = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 3)], "doc_name string, level int")
