@@ -59,6 +59,26 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, id_: str = "vec_id", vect
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def all_scores(queries: DataFrame, rows: DataFrame, id_: str = "vec_id", vector: str = "embedding", block: int = ROWS) -> DataFrame:
+    """(query_id, id, score) of every row for each query, the query itself left out; blocks and rules as in ``top_k``."""
+    q, r = _packed(queries, id_, vector, "q", block), _packed(rows, id_, vector, "r", block)
+    kind = queries.schema[id_].dataType.simpleString()
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf.itertuples():
+                a, b = np.array([*t.q_vs], float).reshape(len(t.q_ids), -1), np.array([*t.r_vs], float).reshape(len(t.r_ids), -1)
+                a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+                b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+                s = np.round(a @ b.T, 6) + 0.0
+                ids = np.asarray(t.r_ids)
+                for i, row in enumerate(s):
+                    other = ids != t.q_ids[i]
+                    yield pd.DataFrame({"query_id": [t.q_ids[i]] * int(other.sum()), "id": ids[other], "score": row[other]})
+
+    return q.crossJoin(r).mapInPandas(meet, f"query_id {kind}, id {kind}, score double")
+
+
 def fit_lists(rows: DataFrame, lists: int, vector: str = "embedding", sample: int = 20_000, rounds: int = 8, seed: int = 3) -> np.ndarray:
     """Centres of a list index by k-means on at most ``sample`` rows, drawn by a hash of the vector."""
     got = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(vector)).limit(sample).select(vector).collect()

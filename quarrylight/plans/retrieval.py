@@ -71,6 +71,11 @@ def cosine_next(spark, root):
     return j.select("query_id", "id", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("score"))
 
 
+@query(f"SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id")
+def cosine_pairs(spark, root):
+    return V.all_scores(*_vectors(spark, root))
+
+
 @query("SELECT label, count(*) AS n, len(any_value(embedding)) AS dim FROM embeddings GROUP BY 1")
 def collection_info(spark, root):
     return table(spark, root, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"))

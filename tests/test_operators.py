@@ -186,6 +186,13 @@ def test_trails_between_what_is_not_adjacent(spark, data):
     assert got == want and got and all(p.count(" > ") > 1 for p in got.values())
 
 
+def test_every_vector_is_scored(spark):
+    v = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (7, [3.0, 3.0]), (9, None), (20, [0.0, 0.0])]
+    df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.id): r.score for r in V.all_scores(df.where("vec_id in (1, 20)"), df, block=2).collect()}
+    assert got == {(1, 2): 0.0, (1, 7): 0.707107, (1, 20): 0.0, (20, 1): 0.0, (20, 2): 0.0, (20, 7): 0.0}
+
+
 def test_access_fails_closed(spark):
     rows = spark.createDataFrame([("a",), ("b",), (None,)], "doc_name string")
     access = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 3)], "doc_name string, level int")
