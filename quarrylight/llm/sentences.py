@@ -161,9 +161,19 @@ CASCADES = {
     "mul": ("general", "en", "de", "fr", "es", "pt", "ru", "ar", "latin", "cjk", "rest"),
     "cjk": ("cjk", "general", "en", "latin", "rest"),
 }
+
+
+def _span(opening: str, other: str, closing: str, short: int) -> str:
+    """Up to the closing mark: over any length within a paragraph, over blank lines up to ``short`` characters."""
+    return rf"{opening}(?:[^{other}]{{1,{short}}}?|(?:[^{other}\n]|\n(?!\s*\n))++){closing}"
+
+
+# each kind excludes its own opening mark, so that no stretch is read twice for want of a closing one
 _SPANS = re.compile(
-    r"„[^„“”]{1,600}?[“”]|“[^“”„]{1,600}?”|«[^«»]{1,600}?»|「[^「」]{1,600}?」|『[^『』]{1,600}?』|《[^《》]{1,600}?》"
-    r"|(?<!\w)\"[^\"\n]{1,600}?\"(?!\w)|\([^()\n]{1,400}?\)|（[^（）\n]{1,400}?）"
+    "|".join(
+        [_span(x[0], x, f"[{x[1:]}]" if x[0] == "„" else x[1], 600) for x in ("„“”", "“”„", "«»", "「」", "『』", "《》")]
+        + [r"(?<!\w)\"[^\"\n]+\"(?!\w)", r"\([^()\n]+\)", r"（[^（）\n]+）"]
+    )
 )
 _HAS_SPAN = re.compile(r"[„“«「『《\"(（]")
 _MARK = r"[.!?…؟۔।。！？\n][\"”“’»」』)\]）.!?…؟。！？]*"

@@ -242,6 +242,15 @@ def test_encoding_of_nothing(spark):
     assert encode(df.limit(0), ["id"]).count() == 0
 
 
+@pytest.mark.parametrize("marks", ["“”", "„“", "«»", "「」", "『』", "《》", '""', "()", "（）"])
+def test_long_quotations_and_brackets_stay_in_their_sentence(marks):
+    inside = "The vault was sealed. Nobody came. " * 40
+    first = f"The clerk noted {marks[0]}{inside.strip()}{marks[1]} in the register."
+    assert said(first + " Then it rained.") == [first, "Then it rained."]
+    # a mark that is never closed in its paragraph joins nothing
+    assert len(said(f"The clerk noted {marks[0]}{inside}\n\n{inside}{marks[1]} in the register.")) > 40
+
+
 # contamination
 
 
