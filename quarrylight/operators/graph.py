@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
+from quarrylight.operators.sets import similar_sets
 from quarrylight.session import cut
 
 STRUCTURAL = ("belongs_to_document", "belongs_to_section", "child_of_section", "table_belongs_to_clause")
@@ -32,20 +33,12 @@ def merged_by_stems(names: DataFrame) -> DataFrame:
 def similar_names(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(norm_a, norm_b, score): pairs of names with different stem sets whose Jaccard score reaches the threshold.
 
-    Prefix filter: the sets share one of their rarest stems, of which only the first size - ceil(threshold * size) + 1
-    need to be joined; the rest of each set is compared once per pair.
+    One of the names with the same set stands for all of them.
     """
     n = names.select("norm", T.name_stems(F.col("norm")).alias("stems")).where(F.size("stems") > 0)
     # one name per distinct set: equal sets are merged elsewhere
     n = n.groupBy("stems").agg(F.min("norm").alias("norm"))
-    each = n.select("norm", "stems", F.explode("stems").alias("stem"))
-    rarity = each.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(rarity, "stem").groupBy("norm", "stems").agg(F.sort_array(F.collect_list(F.struct("df", "stem"))).alias("o"))
-    keep = F.size("stems") - F.ceil(F.size("stems") * threshold) + 1
-    prefix = ranked.select("norm", "stems", F.explode(F.transform(F.slice("o", F.lit(1), keep.cast("int")), lambda x: x["stem"])).alias("stem"))
-    a, b = prefix.toDF("norm_a", "stems_a", "stem"), prefix.toDF("norm_b", "stems_b", "stem")
-    size_ok = (F.size("stems_a") >= F.size("stems_b") * threshold) & (F.size("stems_b") >= F.size("stems_a") * threshold)
-    return a.join(b, "stem").where((F.col("norm_a") < F.col("norm_b")) & size_ok).select("norm_a", "norm_b", T.jaccard(F.col("stems_a"), F.col("stems_b")).alias("score")).where(F.col("score") >= threshold).distinct()
+    return similar_sets(n, "norm", "stems", threshold).toDF("norm_a", "norm_b", "score")
 
 
 def chunk_nodes(chunks: DataFrame) -> DataFrame:
