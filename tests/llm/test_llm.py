@@ -290,6 +290,66 @@ def test_denser_lines_hide_no_altered_passage(spark):
     assert {r.doc_id for r in leaks.where("query_id = 'q1'").collect()} == {0, 1, 2}
 
 
+def _leaks(spark, docs, items, **more):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "query_id string, question string")
+    return {(r.doc_id, r.query_id) for r in leaked_items(d, i, "doc_id", "text", "query_id", ["question"], **more).collect()}
+
+
+def test_equal_items_and_remarks_and_other_scripts(spark):
+    words = PASSAGE.split()
+    altered = " ".join("other" if i % 7 == 3 else w for i, w in enumerate(words))
+    # a text under two ids hides nothing from either, nor does one that is nearly the same
+    longer = PASSAGE + " It was so."
+    assert _leaks(spark, [altered], [("q1", PASSAGE), ("q2", PASSAGE), ("q3", longer)]) == {(0, "q1"), (0, "q2"), (0, "q3")}
+    remarks = [" ".join(words[:14] + ["remark", *[f"inner{k}" for k in range(n)]] + words[14:28]) for n in (8, 12, 15, 24, 40)]
+    assert _leaks(spark, remarks, [("q1", PASSAGE)]) == {(k, "q1") for k in range(5)}
+    # what is further away than its two sides can outweigh is no remark
+    assert _leaks(spark, [" ".join(words[:14] + [f"inner{k}" for k in range(300)] + words[14:28])], [("q1", PASSAGE)]) == set()
+    zh = "港务局的账房在洪水过后两次为一张旱灾凭证投保，凭证价值五十三万四千一百七十八塔兰特，两位仲裁人都曾反对。"
+    th = "เจ้าหน้าที่ท่าเรือทำประกันใบสำคัญภัยแล้งสองครั้งหลังน้ำท่วมโดยไม่ฟังคำแนะนำของอนุญาโตตุลาการทั้งสองคนและสมาคมเกลือเปิดเผยการจำนองเรือข้ามฟากช้าเกินไปเมื่อตราประทับที่สองถูกทำลาย"
+    assert _leaks(spark, ["前言。" + zh + "后记。", "前言。" + zh[:9] + "后记。", "คำนำ " + th + " จบ"], [("q1", zh), ("q2", th)]) == {(0, "q1"), (2, "q2")}
+
+
+def test_longest_match_has_no_cap_and_blocks_change_nothing(spark):
+    rnd = random.Random(9)
+    made = lambda k: " ".join("".join(rnd.choice("bcdfghklmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(k))
+    long, shared = made(300), made(12)
+    items = [("q1", long), ("q2", made(20) + " " + shared), ("q3", shared + " " + made(20)), ("q4", made(30))]
+    docs = [made(20) + " " + long + " " + made(5), items[1][1], items[2][1] + " " + items[3][1], shared, made(40)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "query_id string, question string")
+    raw = leaked_items(d, i, "doc_id", "text", "query_id", ["question"], raw=True)
+    assert [(r.longest, r.longest_at) for r in raw.where("doc = 0 and item = 'q1'").collect()] == [(300, 20)]
+    assert _leaks(spark, docs, items) == _leaks(spark, docs, items, block_words=50) == _leaks(spark, docs, items, block_words=1) == {(0, "q1"), (1, "q2"), (2, "q3"), (2, "q4")}
+
+
+def brute_worth(passage, text):
+    from quarrylight.llm.contamination import MISS, PUT_IN
+
+    h = [[0.0] * (len(text) + 1) for _ in range(len(passage) + 1)]
+    for i in range(1, len(passage) + 1):
+        for j in range(1, len(text) + 1):
+            h[i][j] = max(0.0, h[i - 1][j - 1] + 1 if passage[i - 1] == text[j - 1] else 0.0, h[i - 1][j] - MISS, h[i][j - 1] - PUT_IN)
+    return max(map(max, h))
+
+
+def test_alignment_against_brute_force():
+    from quarrylight.llm.contamination import MISS, PUT_IN, aligned_stretches
+
+    rnd = np.random.default_rng(8)
+    pairs = [(rnd.integers(1, 9, rnd.integers(3, 15)), rnd.integers(1, 20, rnd.integers(1, 60))) for _ in range(120)]
+    for (p, t), got in zip(pairs, aligned_stretches(pairs, 0.99)):
+        used = set()
+        for k, (a, b) in enumerate(got):
+            assert (p[a] == t[b]).all() and (np.diff(a) > 0).all() and (np.diff(b) > 0).all() and not used & set(b.tolist())
+            used |= set(b.tolist())
+            worth = len(a) - MISS * (a[-1] - a[0] + 1 - len(a)) - PUT_IN * (b[-1] - b[0] + 1 - len(b))
+            if k == 0:
+                assert worth == pytest.approx(brute_worth(p, t), abs=1e-3)
+        assert got or brute_worth(p, t) < 0.99
+
+
 def test_words_are_normalised():
     assert words_of("Tаlеnts — sign-\natories 35,230 ﬁn\xadal") == ["talents", "signatories", "35230", "final"]
     assert search_shard(Passages([("q", [PASSAGE])]), [1, 2], [None, ""]) == []
