@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.operators import chunking as C
+from quarrylight.plans.registry import register
 from quarrylight.plans.text import STRIP
 from quarrylight.session import table
 
@@ -14,21 +15,14 @@ _S = STRIP.format
 _TOK = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = register(QUERIES, SQL)
 
 
 def _elements(spark, root, *more):
-    return table(spark, root, "elements").select("element_id", "doc_name", "element_type", "content", "section_path", "pos", *more).dropDuplicates(["element_id"])
+    return table(spark, root, "elements").select("element_id", "doc_name", "element_type", "content", "section_path", "pos", "language", "parsed_at", *more)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT ON (element_id) element_id, doc_name, element_type, content, pos, try_cast(metadata['level'] AS int) AS level FROM elements),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT ON (element_id) element_id, doc_name, element_type, content, pos, try_cast(metadata['level'] AS int) AS level FROM elements ORDER BY element_id, parsed_at),
 h AS (SELECT doc_name, content, pos, greatest(coalesce(level, 1), 1) AS level, row_number() OVER (PARTITION BY doc_name ORDER BY pos) AS i FROM e WHERE element_type = 'heading'),
 f AS (SELECT doc_name, i, pos, [content] AS path FROM h WHERE i = 1
  UNION ALL SELECT h.doc_name, h.i, h.pos, list_append(f.path[1:h.level - 1], h.content) FROM f JOIN h ON h.doc_name = f.doc_name AND h.i = f.i + 1)
@@ -37,9 +31,10 @@ def section_path(spark, root):
     return C.section_paths(_elements(spark, root, "metadata")).select("element_id", F.array_join("path", " > ").alias("path"))
 
 
-_RUNS = f"""e AS (SELECT DISTINCT ON (element_id) element_id, doc_name, element_type, content, section_path, pos FROM elements WHERE length({_S('content')}) > 0),
+_RUNS = f"""e AS (SELECT * FROM (SELECT DISTINCT ON (element_id) element_id, doc_name, element_type, content, section_path, language, pos FROM elements ORDER BY element_id, parsed_at) WHERE length({_S('content')}) > 0),
 g AS (SELECT *, lag(section_path) OVER w AS ps, lag(element_type) OVER w AS pt FROM e WINDOW w AS (PARTITION BY doc_name ORDER BY pos)),
-r AS (SELECT *, sum(CASE WHEN pt IS NULL OR ps <> section_path OR element_type = 'table' OR pt = 'table' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_name ORDER BY pos) AS run FROM g)"""
+r AS (SELECT *, sum(CASE WHEN pt IS NULL OR ps <> section_path OR element_type = 'table' OR pt = 'table' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_name ORDER BY pos) AS run,
+  sum(CASE WHEN pt IS NULL OR ps <> section_path THEN 1 ELSE 0 END) OVER (PARTITION BY doc_name ORDER BY pos) AS section FROM g)"""
 
 
 @query(f"WITH {_RUNS} SELECT element_id, run::bigint AS run FROM r")
@@ -51,34 +46,43 @@ def _chunks_sql(max_tokens: int, overlap: int) -> str:
     prefix = "'[' || doc_name || CASE WHEN len(section_path) > 0 THEN ' | ' || array_to_string(section_path, ' > ') ELSE '' END || ']'"
     split = r"list_filter(list_transform(string_split(regexp_replace(" + _S("content") + r", '([.!?؟])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: " + _S("s") + "), lambda s: length(s) > 0)"
     return f"""WITH RECURSIVE {_RUNS},
-t AS (SELECT doc_name, run, pos, element_id, {prefix} AS prefix, greatest({max_tokens} - {_TOK.format(prefix)}, 50) AS budget, {split} AS s FROM r WHERE element_type NOT IN ('heading', 'table')),
-u AS (SELECT doc_name, run, pos, element_id, prefix, budget, unnest(s) AS sentence, unnest(range(len(s))) AS k FROM t),
+l AS (SELECT *, first_value(language) OVER (PARTITION BY doc_name, section ORDER BY pos) AS lang FROM r),
+t AS (SELECT doc_name, run, lang, pos, element_id, section_path, {prefix} AS prefix, greatest({max_tokens} - {_TOK.format(prefix)}, 50) AS budget, {split} AS s FROM l WHERE element_type NOT IN ('heading', 'table')),
+u AS (SELECT doc_name, run, lang, pos, element_id, section_path, prefix, budget, unnest(s) AS sentence, unnest(range(len(s))) AS k FROM t),
 v AS (SELECT * EXCLUDE (sentence), sentence, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]') AS toks FROM u),
-w AS (SELECT doc_name, run, pos, element_id, prefix, budget, k, 0 AS q, sentence FROM v WHERE len(toks) <= budget
- UNION ALL SELECT doc_name, run, pos, element_id, prefix, budget, k, q, array_to_string(toks[q * budget + 1:(q + 1) * budget], ' ') FROM (SELECT *, unnest(range(0, ((len(toks) + budget - 1) // budget)::bigint)) AS q FROM v WHERE len(toks) > budget)),
-x AS (SELECT doc_name, run, prefix, budget, list({{'s': sentence, 'e': element_id}} ORDER BY pos, k, q) AS m, list({_TOK.format('sentence')} ORDER BY pos, k, q) AS tok FROM w GROUP BY ALL),
+w AS (SELECT doc_name, run, lang, pos, element_id, section_path, prefix, budget, k, 0 AS q, sentence FROM v WHERE len(toks) <= budget
+ UNION ALL SELECT doc_name, run, lang, pos, element_id, section_path, prefix, budget, k, q, array_to_string(toks[q * budget + 1:(q + 1) * budget], ' ') FROM (SELECT *, unnest(range(0, ((len(toks) + budget - 1) // budget)::bigint)) AS q FROM v WHERE len(toks) > budget)),
+x AS (SELECT doc_name, run, lang, section_path, prefix, budget, list({{'s': sentence, 'e': element_id}} ORDER BY pos, k, q) AS m, list({_TOK.format('sentence')} ORDER BY pos, k, q) AS tok FROM w GROUP BY doc_name, run, lang, section_path, prefix, budget),
 y AS (SELECT *, list_transform(range(0, len(tok) + 1), lambda i: coalesce(list_sum(tok[1:i]), 0)) AS c FROM x),
-z AS (SELECT doc_name, run, prefix, budget, m, c, 0::bigint AS chunk_no, 0::bigint AS start,
+z AS (SELECT doc_name, run, budget, c, len(m) AS n, 0::bigint AS chunk_no, 0::bigint AS start,
    list_max(list_filter(range(0, len(c)), lambda f: c[f + 1] <= budget)) AS stop FROM y
- UNION ALL SELECT doc_name, run, prefix, budget, m, c, chunk_no + 1, s, greatest(z.stop + 1, list_max(list_filter(range(0, len(c)), lambda f: c[f + 1] <= c[s + 1] + budget)))
-   FROM (SELECT *, list_min(list_filter(range(0, stop + 1), lambda b: c[b + 1] >= c[stop + 1] - {overlap})) AS s FROM z WHERE stop < len(m)) z)"""
+ UNION ALL SELECT doc_name, run, budget, c, n, chunk_no + 1, s, greatest(z.stop + 1, list_max(list_filter(range(0, len(c)), lambda f: c[f + 1] <= c[s + 1] + budget)))
+   FROM (SELECT *, list_min(list_filter(range(0, stop + 1), lambda b: c[b + 1] >= c[stop + 1] - {overlap})) AS s FROM z WHERE stop < n) z),
+made AS (SELECT z.doc_name, z.run, z.chunk_no, 'text' AS element_type, prefix || chr(10) || chr(10) || array_to_string(list_transform(m[start + 1:stop], lambda p: p.s), ' ') AS content, section_path,
+   list_transform(m[start + 1:stop], lambda p: p.e) AS ids, lang FROM z JOIN y ON z.doc_name = y.doc_name AND z.run = y.run
+ UNION ALL SELECT doc_name, run, 0, 'table', content, section_path, [element_id], lang FROM l WHERE element_type = 'table'),
+cut AS (SELECT * REPLACE (CASE WHEN {_TOK.format('content')} > 7500 THEN array_to_string(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')[1:7500], ' ') ELSE content END AS content) FROM made),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_name, run, chunk_no) - 1 AS chunk_index FROM cut)
+SELECT doc_name, run::bigint AS run, chunk_no, element_type, content, array_to_string(section_path, ' > ') AS section, array_to_string(list_filter(ids, lambda e, i: i = 1 OR e <> ids[i - 1]), ',') AS source_element_ids, lang AS language,
+ {_TOK.format('content')}::int AS token_estimate, chunk_index::bigint AS chunk_index, substr(sha256(concat_ws('::', doc_name, element_type, chunk_index::varchar, substr(content, 1, 100))), 1, 16) AS chunk_id FROM o"""
 
 
 def _chunks(spark, root, max_tokens, overlap):
-    return C.chunks(_elements(spark, root), max_tokens=max_tokens, overlap=overlap)
-
-
-_CHUNK_ROWS = " SELECT doc_name, run::bigint AS run, chunk_no, prefix || chr(10) || chr(10) || array_to_string(list_transform(m[start + 1:stop], lambda p: p.s), ' ') AS content FROM z"
+    c = C.chunks(_elements(spark, root), max_tokens=max_tokens, overlap=overlap)
+    return c.select(
+        "doc_name", F.col("run").cast("bigint").alias("run"), F.col("chunk_no").cast("bigint").alias("chunk_no"), "element_type", "content", F.array_join("section_path", " > ").alias("section"),
+        F.array_join("source_element_ids", ",").alias("source_element_ids"), "language", "token_estimate", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_id",
+    )
 
 
-@query(_chunks_sql(512, 50) + _CHUNK_ROWS)
+@query(_chunks_sql(512, 50))
 def chunk_pack(spark, root):
-    return _chunks(spark, root, 512, 50).select("doc_name", F.col("run").cast("bigint").alias("run"), F.col("chunk_no").cast("bigint").alias("chunk_no"), "content")
+    return _chunks(spark, root, 512, 50)
 
 
-@query(_chunks_sql(96, 16) + _CHUNK_ROWS)
+@query(_chunks_sql(96, 16))
 def chunk_overlap(spark, root):
-    return _chunks(spark, root, 96, 16).select("doc_name", F.col("run").cast("bigint").alias("run"), F.col("chunk_no").cast("bigint").alias("chunk_no"), "content")
+    return _chunks(spark, root, 96, 16)
 
 
 @query("""SELECT element_type, count(*) AS n_chunks, min(t) AS min_tokens, max(t) AS max_tokens, round(avg(t), 4) AS avg_tokens, sum(t)::bigint AS sum_tokens, count_if(t > 512) AS oversize, count_if(t > 7500) AS danger,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.operators import graph as G
+from quarrylight.plans.registry import register
 from quarrylight.plans.text import STEMS, STRIP, _stem_index_sql
 from quarrylight.session import cut, table
 
@@ -14,14 +15,7 @@ NORM = r"regexp_replace(lower(" + _S("name") + r"), '\s+', ' ', 'g')"
 STEMS_OF_NORM = STEMS.replace(NORM, "norm")
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = register(QUERIES, SQL)
 
 
 def _t(spark, root, *names):

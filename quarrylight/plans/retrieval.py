@@ -7,19 +7,13 @@ from pyspark.sql import functions as F
 from quarrylight.operators import retrieval as R
 from quarrylight.operators import vectors as V
 from quarrylight.operators.access import allowed
+from quarrylight.plans.registry import register
 from quarrylight.session import table
 
 QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = register(QUERIES, SQL)
 
 
 _COS = "round(list_dot_product(q.embedding::double[], e.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]))), 6)"

@@ -6,21 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
+from quarrylight.plans.registry import register
 from quarrylight.session import table
 
 QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):
-    """Registers a query and its SQL under the function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = register(QUERIES, SQL)
 
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"

@@ -68,7 +68,7 @@ def test_packing_is_greedy(spark):
     df = spark.createDataFrame(rows, "g string, pos bigint, sent_no int, tok int, budget int")
     for overlap in (0, 15):
         got: dict = {}
-        for r in C.pack(df, ["g"], overlap, 60).orderBy("g", "chunk_no").collect():
+        for r in C.pack(C.numbered_sentences(df, ["g"]), ["g"], overlap, 60).orderBy("g", "chunk_no").collect():
             got.setdefault(r.g, []).append((r.first, r["last"]))
         assert got == {g: brute_chunks(t, 60, overlap) for g, t in groups.items()}
 
