@@ -12,7 +12,8 @@ Defined results
 * a natural boundary is preferred to any forced one; of several the farthest wins, so there are no ties;
 * the overlap starts at a boundary; it is as long as fits with the next natural boundary inside the limit, and empty if
   nothing fits; inside forced stretches it has ``overlap`` tokens (one less if that is odd);
-* very long items: their boundaries are spread over the cluster by blocks of ``limit`` tokens, never gathered;
+* very long items: a text is cut into boundaries in one piece, in memory in proportion to it; its successor table is
+  spread over the cluster;
 * empty tables: no row.  Only the named columns are looked at.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,49 +65,52 @@ def boundaries_of(text: str, limit: int, every: int = OVERLAP // 2) -> list[tupl
     return out
 
 
-def boundary_table(items: DataFrame, keys: Sequence[str], content: str, limit: int, overlap: int) -> DataFrame:
-    """(key columns, pos, cum, natural): one row per boundary of each item."""
-    schema = T.StructType([items.schema[k] for k in keys] + [T.StructField("pos", T.IntegerType()), T.StructField("cum", T.IntegerType()), T.StructField("natural", T.BooleanType())])
+def successors_of(bounds: Sequence[tuple[int, int, bool]], limit: int, overlap: int) -> list[np.ndarray]:
+    """(i, j, start_token, start_pos, end_pos, natural) of the piece that follows each cut: it ends at j tokens.
+
+    Each boundary but the last meets, by binary search over the boundaries in order, the place where its piece starts and
+    the farthest one that the piece may reach.
+    """
+    pos, cum, natural = (np.array(x) for x in zip(*bounds))
+    n = len(bounds) - 1
+    cut, marks = cum[:n], np.flatnonzero(natural)
+    # the next natural boundary, if a piece that starts at the cut itself can reach it
+    after = np.searchsorted(cum[marks], cut, side="right")
+    following = np.where(after < len(marks), cum[marks[np.minimum(after, len(marks) - 1)]], np.iinfo(np.int64).max)
+    least = np.where(following <= cut + limit, np.maximum(cut - overlap, following - limit), cut - overlap)
+    start = np.searchsorted(cum, np.maximum(least, 0))
+    start[0] = 0
+    most = np.minimum(cum[start] + limit, cut + limit)
+    far = np.searchsorted(cum, most, side="right") - 1
+    mark = marks[np.searchsorted(cum[marks], most, side="right") - 1]
+    end = np.where(cum[mark] > cut, mark, far)
+    return [cut, cum[end], cum[start], pos[start], pos[end], natural[end]]
+
+
+def successors(items: DataFrame, keys: Sequence[str], content: str, limit: int, overlap: int) -> DataFrame:
+    """(keys, i, j, start_token, start_pos, end_pos, natural): one row per boundary of each item but the last."""
     names, every = list(keys), max(1, overlap // 2)
+    fields = [("i", T.IntegerType()), ("j", T.IntegerType()), ("start_token", T.IntegerType()), ("start_pos", T.IntegerType()), ("end_pos", T.IntegerType()), ("natural", T.BooleanType())]
+    schema = T.StructType([items.schema[k] for k in keys] + [T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, *b) for i, t in enumerate(pdf["_content"]) for b in boundaries_of(t, limit, every)]
-            out = pdf[names].iloc[[r[0] for r in rows]].reset_index(drop=True)
-            for c, name in enumerate(("pos", "cum", "natural"), 1):
-                out[name] = [r[c] for r in rows]
-            yield out
+            found, size = [], 0
+            for at, t in enumerate(pdf["_content"]):
+                bounds = boundaries_of(t, limit, every)
+                if len(bounds) > 1:
+                    found.append((at, successors_of(bounds, limit, overlap)))
+                    size += len(bounds)
+                if found and (size > 200_000 or at == len(pdf) - 1):
+                    out = pdf[names].iloc[np.repeat([k for k, _ in found], [len(x[0]) for _, x in found])].reset_index(drop=True)
+                    for c, (name, _) in enumerate(fields):
+                        out[name] = np.concatenate([x[c] for _, x in found])
+                    yield out
+                    found, size = [], 0
 
     return items.select(*keys, F.col(content).alias("_content")).mapInPandas(run, schema)
 
 
-def successors(bounds: DataFrame, keys: Sequence[str], limit: int, overlap: int) -> DataFrame:
-    """(keys, i, j, start_pos, end_pos, natural): the piece that follows the cut at i tokens and ends at j tokens.
-
-    Boundaries meet in blocks of ``limit`` tokens: all that a piece can start or end at lies in the block of its cut or
-    in the two beside it, of which each holds ``limit`` boundaries at most.
-    """
-    blocks = bounds.withColumn("block", F.floor(F.col("cum") / limit).cast("int"))
-    entry = F.struct("cum", "pos", "natural")
-    near = (
-        blocks.groupBy(*keys, "block").agg(F.collect_list(entry).alias("own"))
-        .select(*keys, F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), "own")
-        .groupBy(*keys, "block").agg(F.flatten(F.collect_list("own")).alias("near"))
-    )
-    joined = blocks.join(near, [*keys, "block"])
-    cum = F.col("cum")
-    ahead = F.filter("near", lambda b: (b["cum"] > cum) & (b["cum"] <= cum + limit))
-    following = F.array_min(F.transform(F.filter("ahead", lambda b: b["natural"]), lambda b: b["cum"]))
-    least = F.greatest(cum - overlap, F.coalesce(F.col("following") - limit, cum - overlap), F.lit(0))
-    start = F.when(cum == 0, F.struct(F.lit(0).alias("cum"), F.lit(0).alias("pos"))).otherwise(F.array_min(F.transform(F.filter("near", lambda b: (b["cum"] <= cum) & (b["cum"] >= F.col("least"))), lambda b: F.struct(b["cum"], b["pos"]))))
-    reach = F.filter("ahead", lambda b: b["cum"] <= F.col("start.cum") + limit)
-    end = F.array_max(F.transform(reach, lambda b: F.struct(b["natural"], b["cum"], b["pos"])))
-    return (
-        joined.withColumn("ahead", ahead).where(F.size("ahead") > 0).withColumn("following", following).withColumn("least", least).withColumn("start", start).withColumn("end", end)
-        .select(*keys, F.col("cum").alias("i"), F.col("end.cum").alias("j"), F.col("start.cum").alias("start_token"), F.col("start.pos").alias("start_pos"), F.col("end.pos").alias("end_pos"), F.col("end.natural").alias("natural"))
-    )
-
-
 def oversized(df: DataFrame, keys: Sequence[str], content: str, limit: int = LIMIT) -> DataFrame:
     """(keys, content) of items above the limit, each key once."""
     c = F.col(content)
@@ -122,8 +127,7 @@ def split_oversized(df: DataFrame, keys: Sequence[str], content: str = "content"
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap has to be below the limit")
-    bounds = cut(boundary_table(oversized(df, keys, content, limit), keys, content, limit, overlap))
-    succ = cut(successors(bounds, keys, limit, overlap))
+    succ = cut(successors(oversized(df, keys, content, limit), keys, content, limit, overlap))
     cuts = reach(succ, keys)
     return cuts.join(succ, [*keys, "i"]).select(*keys, "piece_no", "start_pos", "end_pos", (F.col("j") - F.col("start_token")).alias("tokens"), (F.col("i") - F.col("start_token")).alias("shared"), "natural")
 
