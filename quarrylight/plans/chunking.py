@@ -8,7 +8,7 @@ from quarrylight.functions import text as T
 from quarrylight.operators import chunking as C
 from quarrylight.plans.registry import register
 from quarrylight.plans.text import STRIP
-from quarrylight.session import table
+from quarrylight.session import spread, table
 
 QUERIES, SQL = {}, {}
 _S = STRIP.format
@@ -19,7 +19,7 @@ query = register(QUERIES, SQL)
 
 
 def _elements(spark, root, *more):
-    return table(spark, root, "elements").select("element_id", "doc_name", "element_type", "content", "section_path", "pos", "language", "parsed_at", *more)
+    return spread(table(spark, root, "elements").select("element_id", "doc_name", "element_type", "content", "section_path", "pos", "language", "parsed_at", *more))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT ON (element_id) element_id, doc_name, element_type, content, pos, try_cast(metadata['level'] AS int) AS level FROM elements ORDER BY element_id, parsed_at),
