@@ -10,10 +10,10 @@ from quarrylight.llm.langid import LanguageModel, canonical_label, context_line,
 from quarrylight.llm.names import link_names, linked_pairs
 from quarrylight.llm.ranking import inverse_normal_sql, joint_ranking
 from quarrylight.llm.reading import body, fit_reading, graded_sample, reading_levels
-from quarrylight.llm.sentences import split_sentences
+from quarrylight.llm.sentences import sentence_positions
 from quarrylight.llm.split import split_oversized, with_text
 from quarrylight.llm.tokenizer import encode
-from quarrylight.session import table
+from quarrylight.session import spread, table
 
 SCORES = ("vector_score", "graph_score", "policy_score")
 
@@ -62,7 +62,7 @@ def _language_items(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     keys = ["item_table", "item_id", "label"]
-    found = language_segments(_language_items(spark, root), keys, "content", _language_model(spark, root), "skip", per_sentence=False)
+    found = language_segments(spread(_language_items(spark, root)), keys, "content", _language_model(spark, root), "skip", per_sentence=False)
     # the languages of an item come from one row of it; items are compared with their label after the few columns are reduced
     items = found.groupBy(*keys).agg(F.collect_set("lang").alias("langs"))
     cases = items.where((F.size("langs") > 1) | (F.element_at("langs", 1) != F.col("label")))
@@ -71,17 +71,17 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_segments(spark: SparkSession, root: str) -> DataFrame:
     keys = ["item_table", "item_id"]
-    return language_segments(_language_items(spark, root), keys, "content", _language_model(spark, root), "skip").distinct()
+    return language_segments(spread(_language_items(spark, root)), keys, "content", _language_model(spark, root), "skip").distinct()
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    paragraphs = table(spark, root, "elements").where(F.col("element_type") == "paragraph").select("element_id", "content").distinct()
-    return split_sentences(paragraphs, ["element_id"]).select("element_id", "sent_start", "sent_end")
+    paragraphs = table(spark, root, "elements").where(F.col("element_type") == "paragraph").select("element_id", "content")
+    return sentence_positions(spread(paragraphs), ["element_id"])
 
 
 def p4_chunks(spark: SparkSession, root: str) -> DataFrame:
-    chunks = table(spark, root, "chunks").where(F.col("element_type") == "text").select("chunk_id", "content").distinct()
-    return split_sentences(chunks, ["chunk_id"]).select("chunk_id", "sent_start", "sent_end")
+    chunks = table(spark, root, "chunks").where(F.col("element_type") == "text").select("chunk_id", "content")
+    return sentence_positions(spread(chunks), ["chunk_id"])
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
@@ -90,14 +90,14 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
-    return encode(table(spark, root, "documents").select("doc_id", "text"), ["doc_id"])
+    return encode(spread(table(spark, root, "documents").select("doc_id", "text")), ["doc_id"])
 
 
 PASSAGES = ("question", "expected_answer", "reasoning_chain")
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    documents = table(spark, root, "documents").select("doc_id", "text")
+    documents = spread(table(spark, root, "documents").select("doc_id", "text"))
     return leaked_items(documents, table(spark, root, "eval_queries").select("query_id", *PASSAGES), "doc_id", "text", "query_id", PASSAGES)
 
 
@@ -112,7 +112,7 @@ def p9_profile(spark: SparkSession, root: str) -> DataFrame:
     reader = fit_reading([body(t) for t, _ in graded], [g for _, g in graded]) if len({g for _, g in graded}) > 1 else None
     # the head of a document is in one language everywhere, which says nothing of its own
     spoken = fit(documents, "doc_id", "text", "lang", rows=2500, skip=3)
-    return reading_levels(documents.where(F.length("text") >= 600), "doc_id", "text", reader, spoken)
+    return reading_levels(spread(documents.where(F.length("text") >= 600)), "doc_id", "text", reader, spoken)
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:

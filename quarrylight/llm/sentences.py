@@ -7,6 +7,11 @@ script); a cascade is an ordered list of tables, and the first rule that
 matches a position decides it.  Positions that are tried are those behind a
 terminal mark, at a line end and, in Thai text, at a space.
 
+Where no language is named, each sentence has the cascade of its own: the short
+forms of a Latin language count only where the function words around the
+position are that language's as much as any other's.  So a text may mix
+languages, and nothing but the text is asked.
+
 Defined results
 * null, empty and blank text: no unit.
 * a text without any mark: one unit, without surrounding white space.
@@ -34,10 +39,12 @@ class Rule(NamedTuple):
     breaks: bool
     before: re.Pattern[str] | None
     after: re.Pattern[str] | None
+    #: the language in whose sentences alone the rule holds
+    only: str | None = None
 
 
-def _rule(breaks: bool, before: str = "", after: str = "") -> Rule:
-    return Rule(breaks, re.compile(rf"(?:{before})\Z") if before else None, re.compile(after) if after else None)
+def _rule(breaks: bool, before: str = "", after: str = "", only: str | None = None) -> Rule:
+    return Rule(breaks, re.compile(rf"(?:{before})\Z") if before else None, re.compile(after) if after else None, only)
 
 
 def _words(text: str) -> str:
@@ -89,21 +96,21 @@ LANGUAGE = {
         _rule(JOIN, _W + rf"(?:{COMPANY_SHORT})\.", rf"\s+(?:{COMPANY}|&|and)\b"),
     ],
     "de": [
-        _rule(JOIN, _W + r"(?:Hr|Fr|Frl|Nr|Abs|Bd|Ziff|Kap|bzw|ca|evtl|ggf|inkl|exkl|sog|usf|vgl|Vgl|Str|Dipl|Ing|geb|Anm)\.", r"\s"),
+        _rule(JOIN, _W + r"(?:Hr|Fr|Frl|Nr|Abs|Bd|Ziff|Kap|bzw|ca|evtl|ggf|inkl|exkl|sog|usf|vgl|Vgl|Str|Dipl|Ing|geb|Anm)\.", r"\s", "de"),
         _rule(JOIN, r"(?<![\w.])(?:[zduoi]\.\s?(?:B|h|a|ä|U|R|E|V)|u\.\s?s\.\s?w)\.", ""),
         _rule(JOIN, r"(?<![\w.])[zduoi]\.", r"\s?(?:B|h|a|ä|U|R|E|V|s)\."),
         _rule(JOIN, r"(?<!\d)\d{1,2}\.", r"\s(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)"),
     ],
     "fr": [
-        _rule(JOIN, _W + r"(?:M|MM|Mme|Mlle|Mgr|Me|al|éd|env|max|min|vol|chap)\.", r"\s"),
-        _rule(JOIN, r"(?<!\w)(?:p\.\s?ex|c\.-à-d|[Aa]rt|n)\.", r"\s"),
+        _rule(JOIN, _W + r"(?:M|MM|Mme|Mlle|Mgr|Me|éd|env|max|min|vol|chap)\.", r"\s", "fr"),
+        _rule(JOIN, r"(?<!\w)(?:p\.\s?ex|c\.-à-d|[Aa]rt|n)\.", r"\s", "fr"),
         _rule(JOIN, r"(?<!\w)p\.", r"\s?(?:ex\.|\d)"),
     ],
     "es": [
-        _rule(JOIN, _W + r"(?:Sr|Sra|Sres|Sras|Srta|D|Dña|Lic|Ud|Uds|núm|Núm|pág|págs|art|arts|aprox|p|ej|EE|UU|Excmo)\.", r"\s"),
+        _rule(JOIN, _W + r"(?:Sr|Sra|Sres|Sras|Srta|D|Dña|Lic|Ud|Uds|núm|Núm|pág|págs|art|arts|aprox|p|ej|EE|UU|Excmo)\.", r"\s", "es"),
     ],
     "pt": [
-        _rule(JOIN, _W + r"(?:Sr|Sra|Srs|Exmo|Eng|Dra|pág|n|núm|art|aprox|ex)\.", r"[\sºª]"),
+        _rule(JOIN, _W + r"(?:Sr|Sra|Srs|Exmo|Eng|Dra|pág|n|núm|art|aprox|ex)\.", r"[\sºª]", "pt"),
     ],
     "ru": [
         _rule(JOIN, r"(?<!\w)(?:т\.\s?[епдкн]|и\.\s?о|т|ст|гл|г|гг|руб|коп|см|им|проф|акад|пп|стр|рис|табл|тыс|млн|млрд|др|п)\.", r"\s*[\dа-яё«(№А-ЯЁ]"),
@@ -117,6 +124,7 @@ LATIN = [
     _rule(BREAK, _W + rf"(?:{COMPANY_SHORT})\.", rf"\s+[{_OPEN}]*[{_UP}]"),
     _rule(BREAK, r"(?<![\w])(?:[ap]\.\s?m|etc|usw|et al|al)\.", rf"\s+[{_OPEN}]*[{_UP}]"),
     _rule(BREAK, rf"(?<![\w])[{_UP}]\.", rf"\s+(?:{STARTERS})\b"),
+    _rule(JOIN, rf"\b(?:{COMPANY}), (?:[{_UP}]\.)+", ""),
     _rule(BREAK, rf"\w, (?:[{_UP}]\.)+", rf"\s+[{_OPEN}]*[{_UP}][{LOWER} ]"),
     _rule(JOIN, rf"(?<![\w])[{_UP}]\.", rf"\s*[{_UP}]|\s+[{_UNCASED}]"),
     _rule(JOIN, rf"(?<![\w])[{_UP}]\.", r"\S"),
@@ -154,7 +162,7 @@ REST = [
     _rule(BREAK, rf"[{_UNCASED}\d٪%][.!?][\"”“’»]*", rf"[{_UNCASED}]"),
 ]
 _TABLES = {"general": GENERAL, "latin": LATIN, "cjk": CJK, "thai": THAI, "lines": LINES, "rest": REST, **LANGUAGE}
-#: cascades: the tables of a language in the order in which they are tried; "mul" where the Latin language isn't known
+#: cascades: the tables of a language in the order in which they are tried; "mul" where the language is told by the text
 CASCADES = {
     **{lang: ("general", lang, "en", "latin", "cjk", "rest") for lang in ("de", "fr", "es", "pt", "ru", "ar")},
     "en": ("general", "en", "latin", "cjk", "rest"),
@@ -181,8 +189,38 @@ _CANDIDATE = re.compile(_MARK)
 _CANDIDATE_THAI = re.compile(_MARK + rf"|(?<=[{_THAI}])[ \t\xa0]+(?=[^\s\d])")
 _HAS_THAI = re.compile(rf"[{_THAI}]")
 _STRIP = re.compile(r"\S")
-#: code points before a position that the first expression of a rule may look at; longer than any short form with its marks
+#: code points before a mark that the first expression of a rule may look at; longer than any short form
 _LOOK = 14
+# Function words by which the language of a Latin sentence is told, where a short form may be of several.
+FUNCTION_WORDS = {
+    "en": "the of and to in is are was were that this it he she they we you for with on at by from as not be has have had his her its their which who then if or but we our when all no",
+    "de": "der die das den dem des und ist sind war wird werden ein eine einer einem einen nicht mit von zu im in auf für bei nach aus als auch an er sie es wir wenn oder sich durch über vor gemäß laut",
+    "fr": "le la les de du des et est sont un une dans pour par sur avec au aux ce cette ces qui que ne pas il elle nous vous ou se son sa ses leur en si être selon",
+    "es": "el la los las de del y es son un una en para por con no que se su sus al lo como más o si este esta estos ha han fue debe cada sin sobre según",
+    "pt": "o a os as de do da dos das e é são um uma em no na nos nas para por com não que se seu sua ao à ou como mais este esta foi deve cada sem sobre pelo pela segundo",
+}
+_LANGUAGES_OF: dict[str, tuple[str, ...]] = {}
+for _lang, _listed in FUNCTION_WORDS.items():
+    for _w in set(_listed.split()):
+        _LANGUAGES_OF[_w] = (*_LANGUAGES_OF.get(_w, ()), _lang)
+_LATIN_WORD = re.compile(r"[a-zß-öø-ÿœ]+")
+#: code points on either side of a position in which function words are counted
+_AROUND = 160
+
+
+def spoken_around(text: str, start: int, at: int) -> frozenset[str]:
+    """The languages whose function words are most frequent in the sentence up to a position, or behind it where it has none
+    yet; all of them where there is none at all."""
+    for part in (text[max(start, at - _AROUND) : at], text[at : at + _AROUND]):
+        counts = dict.fromkeys(FUNCTION_WORDS, 0)
+        for w in _LATIN_WORD.findall(part.lower()):
+            for lang in _LANGUAGES_OF.get(w, ()):
+                counts[lang] += 1
+        if most := max(counts.values()):
+            return frozenset(lang for lang, n in counts.items() if n == most)
+    return frozenset(FUNCTION_WORDS)
+
+
 _MEMO_SIZE = 200_000
 
 
@@ -193,24 +231,29 @@ _SAME_DIGIT = {ord("0") + i: "0" for i in range(1, 10)}
 class _Cascade:
     """Rules in order.  What the first expressions say of a stretch of text is remembered, as stretches recur."""
 
-    def __init__(self, rules: list[Rule]) -> None:
-        self.rules, self.memo = rules, {}
+    def __init__(self, rules: list[Rule], mixed: bool = False) -> None:
+        self.rules, self.memo, self.mixed = rules, {}, mixed
 
-    def decide(self, before: str, text: str, at: int) -> bool:
+    def decide(self, before: str, text: str, at: int, start: int = 0) -> bool:
         before = before.translate(_SAME_DIGIT)
         left = self.memo.get(before)
         if left is None:
-            left = tuple((r.breaks, r.after and r.after.match) for r in self.rules if r.before is None or r.before.search(before))
+            left = tuple((r.breaks, r.after and r.after.match, r.only) for r in self.rules if r.before is None or r.before.search(before))
             if len(self.memo) >= _MEMO_SIZE:
                 self.memo.clear()
             self.memo[before] = left
-        for breaks, after in left:
+        spoken = None
+        for breaks, after, only in left:
             if after is None or after(text, at):
+                if only and self.mixed:
+                    spoken = spoken_around(text, start, at) if spoken is None else spoken
+                    if only not in spoken:
+                        continue
                 return breaks
         return JOIN
 
 
-_BY_LANG = {name: _Cascade([r for t in tables for r in _TABLES[t]]) for name, tables in CASCADES.items()}
+_BY_LANG = {name: _Cascade([r for t in tables for r in _TABLES[t]], name == "mul") for name, tables in CASCADES.items()}
 _AT_LINE, _AT_THAI = _Cascade(LINES), _Cascade(THAI)
 _UNCASED_CHAR = re.compile(rf"[{_UNCASED}]")
 
@@ -234,7 +277,10 @@ def sentence_spans(text: str | None, lang: str = "mul") -> list[tuple[int, int]]
         if k < n_spans and spans[k][0] < at < spans[k][1]:
             continue
         if kind == "line":
-            ends = _AT_LINE.decide(text[max(start, at - _LOOK) : at].rstrip(), text, at)
+            said = at
+            while said > start and text[said - 1].isspace():
+                said -= 1
+            ends = _AT_LINE.decide(text[max(start, said - _LOOK) : said], text, at)
         elif kind == "thai":
             ends = _AT_THAI.decide(text[max(start, at - _LOOK) : at], text, at)
         else:
@@ -245,7 +291,8 @@ def sentence_spans(text: str | None, lang: str = "mul") -> list[tuple[int, int]]
                     continue
                 if text[at : at + 1] == "と":
                     continue
-            ends = rules.decide(text[max(0, at - _LOOK) : at], text, at)
+            # all closing marks, however many, and what stands before the first
+            ends = rules.decide(text[max(0, m.start() + 1 - _LOOK) : at], text, at, start)
         if ends:
             end = at
             while end > start and text[end - 1].isspace():
@@ -264,6 +311,26 @@ def sentence_spans(text: str | None, lang: str = "mul") -> list[tuple[int, int]]
     return out
 
 
+def sentence_positions(df: DataFrame, keys: Sequence[str], text: str = "content", lang: str = "mul") -> DataFrame:
+    """(key columns, sent_start, sent_end) of each sentence, repeated rows counted once.
+
+    Only keys and positions, one row per text, are compared for repeats; texts are not moved.
+    """
+    keys = list(keys)
+    names = [f"_k{i}" for i in range(len(keys))]
+    places = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)] + [T.StructField("_starts", places), T.StructField("_ends", places)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            spans = [sentence_spans(t, lang) for t in pdf["_text"]]
+            yield pdf[names].assign(_starts=[[s for s, _ in x] for x in spans], _ends=[[e for _, e in x] for x in spans])
+
+    chosen = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(text).alias("_text")).where(F.col("_text").rlike(r"[^\s]"))
+    each = chosen.mapInPandas(run, schema).distinct().select(*names, F.explode(F.arrays_zip("_starts", "_ends")).alias("_s"))
+    return each.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], F.col("_s._starts").alias("sent_start"), F.col("_s._ends").alias("sent_end"))
+
+
 def split_sentences(df: DataFrame, keys: Sequence[str], text: str = "content", lang: str = "mul") -> DataFrame:
     """One row per sentence: the key columns, sent_no, sent_start, sent_end, sentence.
 

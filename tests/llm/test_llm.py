@@ -19,7 +19,7 @@ from quarrylight.llm.langid import canonical_label, context_line, fit, fit_langu
 from quarrylight.llm.names import link_names, linked_pairs, rewritings, slips, sound
 from quarrylight.llm.ranking import joint_ranking
 from quarrylight.llm.reading import all_in_language, body, fit_reading, isotonic, reading_levels
-from quarrylight.llm.sentences import sentence_spans, split_sentences
+from quarrylight.llm.sentences import sentence_positions, sentence_spans, split_sentences
 from quarrylight.llm.split import boundaries_of, split_oversized, with_text
 from quarrylight.llm.tokenizer import VOCABULARY, Encoder, PerfectHash, encode, load_ranks, merge
 
@@ -58,6 +58,25 @@ def test_sentences(text, units):
     assert (said(text) if text else sentence_spans(text)) == units
 
 
+@pytest.mark.parametrize(
+    "text,n",
+    [
+        ("He paid in max. Then he left.", 2), ("It is vol. Then more of it is there.", 2), ("We met on the art. She left.", 2), ("They saw Smith et al. Then they left.", 2),
+        ("Il paie au max. 5 euros par mois. Fin.", 2), ("Voir la page de M. Durand. Il est parti.", 2), ("Los pagos de D. Juan no son para él.", 1), ("Er zahlt ca. Hundert in der Woche.", 1),
+        ("The team met. Die Abteilung zahlt bzw. Herr Maier zahlt nicht. The end is near.", 3),
+        ('He said "stop' + '"' * 20 + ". Then he left.", 2), ("He stopped." + '"' * 20 + " Then he left.", 2), ("It ends here." + " " * 40 + "\nIt goes on here.", 2),
+    ],
+)
+def test_each_sentence_has_the_rules_of_its_language(text, n):
+    assert len(said(text)) == n
+
+
+def test_positions_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "A b. C d."), (1, "A b. C d."), (2, None), (3, " "), (None, "E f.")], "id int, content string")
+    assert sorted(map(tuple, sentence_positions(df, ["id"]).collect()), key=str) == sorted([(1, 0, 4), (1, 5, 9), (None, 0, 4)], key=str)
+    assert sentence_positions(df.limit(0), ["id"]).count() == 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aB1 .!?\n\"“”„«»()「」。？ก ข؟د—…:;,-")), max_size=80))
 def test_sentences_cover_all_text(text):
