@@ -11,8 +11,18 @@ from quarrylight.functions import text as T
 from quarrylight.operators.sets import similar_sets
 from quarrylight.session import cut
 
+# Relations that hold the documents together and carry no meaning of their own.
 STRUCTURAL = ("belongs_to_document", "belongs_to_section", "child_of_section", "table_belongs_to_clause")
 
+# Types of entities that part of a name is enough to find.
+NAMED_KINDS = ("organization", "role", "regulation", "product")
+
+
+def live_chunks(chunks: DataFrame) -> DataFrame:
+    """Rows of chunks that no row says are deleted."""
+    gone = chunks.where(F.col("deleted_at").isNotNull()).select("chunk_id").distinct()
+    return chunks.join(gone, "chunk_id", "left_anti")
+
 
 def canonical_names(mentions: DataFrame) -> DataFrame:
     """(norm, canonical_id): of all entities whose names are equal but for case and white space, the first one seen.
@@ -41,6 +51,43 @@ def similar_names(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     return similar_sets(n, "norm", "stems", threshold).toDF("norm_a", "norm_b", "score")
 
 
+def merged_names(names: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(norm, canonical_id, merged_id): each name goes to the name seen after it that is most like it, if any reaches the
+    threshold (of equally like ones the first), and on from there.
+
+    Names of one stem set are all alike and lead to the last of them; so sets are followed, not names: each to the most
+    similar set with a later name.  Sets on the way grow later and later, so the way ends; steps are doubled each round.
+    """
+    n = cut(names.select("norm", "canonical_id", "seen", T.name_stems(F.col("norm")).alias("stems")).withColumn("sid", F.when(F.size("stems") > 0, F.md5(F.array_join("stems", " ")))))
+    sets = n.where("sid is not null").groupBy("sid").agg(F.max("seen").alias("last"), F.max_by("canonical_id", "seen").alias("survivor"), F.first("stems").alias("stems"))
+    near = similar_sets(sets.select("sid", "stems"), "sid", "stems", threshold)
+    both = near.unionAll(near.select("b", "a", "score")).toDF("sid", "to", "score")
+    ends = sets.select("sid", "last")
+    ahead = both.join(ends, "sid").join(ends.toDF("to", "to_last"), "to").where("to_last > last")
+    # of equally like sets the one whose next name comes first
+    reached = ahead.join(n.select(F.col("sid").alias("to"), F.col("seen").alias("next")), "to").where("next > last").groupBy("sid", "to", "score").agg(F.min("next").alias("next"))
+    up = cut(reached.groupBy("sid").agg(F.min_by("to", F.struct(-F.col("score"), F.col("next"))).alias("to")))
+    while True:
+        longer = up.alias("u").join(up.select(F.col("sid").alias("to"), F.col("to").alias("on")), "to", "left")
+        longer = cut(longer.select("sid", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("more")))
+        up = longer.select("sid", "to")
+        if longer.where("more").isEmpty():
+            break
+    root = sets.select("sid").join(up, "sid", "left").select("sid", F.coalesce("to", "sid").alias("root")).join(sets.select(F.col("sid").alias("root"), "survivor"), "root").select("sid", "survivor")
+    return n.join(root, "sid", "left").select("norm", "canonical_id", F.coalesce("survivor", "canonical_id").alias("merged_id"))
+
+
+def entity_nodes(mentions: DataFrame) -> DataFrame:
+    """(entity, name, entity_type, value, source_doc, mentions): the first mention names it, the others add their spellings."""
+    ids = canonical_names(mentions).select("norm", "canonical_id")
+    m = mentions.where("name is not null").select("name", "entity_type", "value", "source_doc", F.struct("extracted_at", "mention_id").alias("seen"), T.normal_name(F.col("name")).alias("norm")).join(ids, "norm")
+    entity = F.concat(F.lit("entity::"), "canonical_id").alias("entity")
+    # spellings of one name are few: they differ in case and white space only
+    spelled = m.groupBy(entity, "name").agg(F.min("seen").alias("seen"), F.min_by(F.struct("entity_type", "value", "source_doc"), "seen").alias("x"))
+    one = spelled.groupBy("entity").agg(F.min_by("x", "seen").alias("x"), F.array_sort(F.collect_list(F.struct("seen", "name"))).alias("s"))
+    return one.select("entity", F.element_at("s", 1)["name"].alias("name"), "x.entity_type", "x.value", "x.source_doc", F.transform("s", lambda v: v["name"]).alias("mentions"))
+
+
 def chunk_nodes(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "doc_name", "element_type", "section_path").dropDuplicates(["chunk_id"]).where("chunk_id is not null")
 
@@ -119,39 +166,60 @@ def token_index(mentions: DataFrame) -> DataFrame:
 def match_questions(questions: DataFrame, index: DataFrame, min_length: int = 3) -> DataFrame:
     """(query_id, entity) where an indexed name stands in the question.
 
-    Every piece of a question that has the length of some name is joined to the names as a whole, an equi-join instead
-    of comparing each question with each name; pieces are bounded by the question's length times the longest name.
+    Every piece of a question that has the length of some name that begins with the same characters is joined to the names
+    as a whole, an equi-join instead of comparing each question with each name.
     """
-    lengths = index.select(F.length("name").alias("n")).where(F.col("n") >= min_length).distinct()
+    head = lambda c, at: F.substring(c, at, F.lit(min_length))
+    names = index.where(F.length("name") >= min_length)
+    # lengths of names per beginning: no more than the longest name has characters
+    lengths = names.groupBy(head(F.col("name"), F.lit(1)).alias("head")).agg(F.collect_set(F.length("name")).alias("lengths"))
     q = questions.select("query_id", F.lower("question").alias("q")).distinct()
-    starts = q.select("query_id", "q", F.explode(F.sequence(F.lit(1), F.length("q"))).alias("at"))
-    # lengths are few: no name is longer than the longest
-    every = lengths.agg(F.sort_array(F.collect_set("n")).alias("lengths"))
-    pieces = starts.join(F.broadcast(every)).select("query_id", F.explode(F.transform("lengths", lambda n: F.substring(F.col("q"), F.col("at"), n))).alias("name"))
-    return pieces.distinct().join(index.where(F.length("name") >= min_length), "name").select("query_id", "entity").distinct()
-
-
-def match_by_words(questions: DataFrame, index: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(query_id, entity) where at least half of a name's words are words of the question, as such or by their stems."""
-    words = questions.select("query_id", F.explode(T.query_words(F.col("question"))).alias("w")).distinct()
-    stems = words.select("query_id", T.stem_query(F.col("w")).alias("stem")).unionAll(words.select("query_id", F.col("w"))).distinct()
-    sizes = index.select("entity", "name", F.size(F.array_distinct(F.filter(F.split("name", r"\s+"), lambda w: F.length(w) > 0))).alias("n"))
-    parts = index.select("entity", "name", F.explode(F.array_distinct(F.split("name", r"\s+"))).alias("w")).where(F.length("w") > 0)
-    raw = parts.join(words, "w").groupBy("query_id", "entity", "name").agg(F.count(F.lit(1)).alias("hits"))
-    by_stem = parts.withColumn("stem", T.stem_query(F.col("w"))).select("entity", "name", "stem").distinct().join(words.withColumn("stem", T.stem_query(F.col("w"))).select("query_id", "stem").distinct(), "stem").groupBy("query_id", "entity", "name").agg(F.count(F.lit(1)).alias("hits"))
-    hits = raw.unionAll(by_stem).groupBy("query_id", "entity", "name").agg(F.max("hits").alias("hits")).join(sizes, ["entity", "name"])
-    candidates = stems.join(tokens, "stem").select("query_id", "entity").distinct()
-    return hits.where(F.col("hits") >= F.greatest(F.lit(1.0), F.col("n") * 0.5)).select("query_id", "entity").distinct().join(candidates, ["query_id", "entity"])
+    starts = q.select("query_id", "q", F.explode(F.sequence(F.lit(1), F.length("q"))).alias("at")).withColumn("head", head(F.col("q"), F.col("at")))
+    pieces = starts.join(lengths, "head").select("query_id", F.explode(F.transform("lengths", lambda n: F.substring(F.col("q"), F.col("at"), n))).alias("name"))
+    return pieces.distinct().join(names, "name").select("query_id", "entity").distinct()
+
+
+def match_by_words(questions: DataFrame, named: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(query_id, entity) of entities that share a stem with a question and
+    * whose name stands in it, or
+    * half of whose name's words, stop words aside, are words of the question, as such or by their stems, or
+    * that are of a kind of ``NAMED_KINDS`` and have one word of more than three letters in the question, even inside another
+      word, or by its stem.
+
+    ``named``: entity, name, entity_type; ``tokens``: the token index.
+    """
+    stop = F.array(*[F.lit(w) for w in T.STOP_WORDS])
+    q = questions.select("query_id", F.lower("question").alias("q"), T.query_words(F.col("question")).alias("kw")).withColumn("ks", F.array_distinct(F.transform("kw", T.stem_query)))
+    hits = q.select("query_id", F.explode(F.array_union("kw", "ks")).alias("stem")).join(tokens, "stem").select("query_id", "entity").distinct()
+    name = T.strip(F.lower("name"))
+    words = F.array_except(F.filter(F.split(name, r"\s+"), lambda w: F.length(w) > 0), stop)
+    n = named.select("entity", name.alias("name"), "entity_type", words.alias("w")).where(F.length("name") >= 2).withColumn("ws", F.array_distinct(F.transform("w", T.stem_query)))
+    j = hits.join(n, "entity").join(q, "query_id")
+    whole = (F.length("name") > 2) & F.contains("q", "name")
+    shared = F.greatest(F.size(F.array_intersect("w", "kw")), F.size(F.array_intersect("ws", "ks")))
+    half = (F.size("w") > 0) & (shared >= F.greatest(F.lit(1.0), F.size("w") * 0.5))
+    part = F.coalesce(F.col("entity_type").isin(*NAMED_KINDS), F.lit(False)) & F.exists("w", lambda w: (F.length(w) > 3) & (F.contains(F.col("q"), w) | F.array_contains(F.col("ks"), T.stem_query(w))))
+    return j.where(whole | half | part).select("query_id", "entity")
+
+
+def match_entities(questions: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(query_id, entity) of all entities that a question names, wholly or in part."""
+    q = questions.where("question is not null")
+    return match_questions(q, name_index(mentions)).unionAll(match_by_words(q, entity_nodes(mentions), token_index(mentions))).distinct()
 
 
 def expand(seeds: DataFrame, edge_table: DataFrame, hops: int = 2, cap: int | None = None, key: str = "query_id", skip: Sequence[str] = STRUCTURAL) -> DataFrame:
     """(key, node, hop) of what is reached from each key's seeds over edges taken in both directions.
 
     A loop of equi-joins; nodes reached are written to the checkpoint folder each hop.  With ``cap``, a key keeps its
-    first nodes by hop and id, so that the same ones stay each time.
+    first nodes by hop and id, so that the same ones stay each time; then twice as many neighbours of a node, the first
+    by id, are all that can be among them, and hubs have no more.
     """
     e = edge_table.where(~F.col("relation_type").isin(*skip)) if skip else edge_table
-    both = cut(e.select("src", "dst").unionAll(e.select("dst", "src")).where("src <> dst").distinct())
+    both = e.select("src", "dst").unionAll(e.select("dst", "src")).where("src <> dst").distinct()
+    if cap is not None:
+        both = both.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= 2 * cap).drop("_n")
+    both = cut(both)
     seen = cut(seeds.select(key, F.col("node")).distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, hops + 1):
         front = seen.where(F.col("hop") == hop - 1)
@@ -181,10 +249,10 @@ def shortest_path(pairs: DataFrame, edge_table: DataFrame, hops: int = 4) -> Dat
 
 
 def graph_scores(candidates: DataFrame, links: DataFrame, wanted: DataFrame, across: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, graph_score): how many entities a chunk names, whether one is wanted, whether one joins documents."""
+    """(query_id, chunk_id, graph_score): how many entities a chunk names, whether one is wanted, whether one joins documents; 0 for a chunk that names none."""
     c = candidates.select("query_id", "chunk_id").distinct()
     e = c.join(links, "chunk_id").join(wanted.select("query_id", "entity").distinct().withColumn("_w", F.lit(1)), ["query_id", "entity"], "left").join(across.select("entity").withColumn("_x", F.lit(1)), "entity", "left")
     # an entity is a neighbour twice, by the edge to the chunk and by the one from it
     s = e.groupBy("query_id", "chunk_id").agg((F.count(F.lit(1)) * 2).alias("n"), F.coalesce(F.max("_w"), F.lit(0)).alias("w"), F.coalesce(F.max("_x"), F.lit(0)).alias("x"))
     score = F.least(0.3 * F.least(F.col("n") / 5.0, F.lit(1.0)) + 0.5 * F.col("w") + 0.2 * F.col("x"), F.lit(1.0))
-    return c.join(s, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce(F.round(score, 4), F.lit(0.0)).alias("graph_score"))
+    return c.join(s, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.when(F.col("n").isNull(), 0.0).otherwise(F.round(score, 4)).alias("graph_score"))

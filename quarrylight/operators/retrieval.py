@@ -21,7 +21,8 @@ def fused(mode: Column, vector: Column, graph: Column, policy: Column, alpha: fl
 def ranked(results: DataFrame, score: Column | None = None, k: int | None = None, name: str = "rank") -> DataFrame:
     """Distinct candidates with ``score`` (four places) and rank; ties go to the better vector score, then the chunk id."""
     score = score if score is not None else fused(F.col("retrieval_mode"), F.col("vector_score"), F.col("graph_score"), F.col("policy_score"))
-    r = results.withColumn("score", F.round(score, 4)).dropDuplicates(["query_id", "chunk_id"])
+    # nine places first, so that engines agree on what lies between two values
+    r = results.withColumn("score", F.round(F.round(score, 9), 4)).dropDuplicates(["query_id", "chunk_id"])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("vector_score"), "chunk_id")
     r = r.withColumn(name, F.row_number().over(order))
     return r if k is None else r.where(F.col(name) <= k)

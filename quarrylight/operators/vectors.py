@@ -139,6 +139,15 @@ def hashed_features(df: DataFrame, key: str, content: str, dim: int = 64) -> Dat
     return counts.join(norms, key).select(key, "bucket", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))
 
 
+def hashed_vectors(df: DataFrame, key: str, content: str, dim: int = 64) -> DataFrame:
+    """(key, embedding): vectors of hashed token counts, not brought to unit length; texts without tokens have no row."""
+    token = df.select(key, F.explode(T.tokens(F.lower(content))).alias("t"))
+    n = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    counts = token.groupBy(key, (n % dim).cast("int").alias("b")).agg(F.sum(F.when((n / dim).cast("bigint") % 2 == 0, 1).otherwise(-1)).cast("double").alias("w"))
+    m = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
+    return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+
+
 def semantic_breaks(sentences: DataFrame, keys: Sequence[str], order: str, content: str, quantile: float = 0.95) -> DataFrame:
     """(keys, order, distance, is_break): breaks where a sentence is further from the one before than the quantile of its group."""
     s = sentences.select(*keys, order, T.tokens(F.lower(content)).alias("t"))

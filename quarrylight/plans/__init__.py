@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrylight.plans import chunking, graph, ingest, references, retrieval, text
+from quarrylight.plans import chunking, graph, ingest, references, retrieval, search, text
 
-_MODULES = (ingest, text, chunking, graph, retrieval, references)
+_MODULES = (ingest, text, chunking, graph, retrieval, search, references)
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, root):
-    return queries()["hybrid_retrieve"](spark, root)
+    return queries()["retrieve_fused"](spark, root)

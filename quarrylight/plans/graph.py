@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylight.functions import text as T
 from quarrylight.operators import graph as G
 from quarrylight.plans.registry import register
-from quarrylight.plans.text import STEMS, STRIP, _stem_index_sql
+from quarrylight.plans.text import _QUESTION, _STOP, STEMS, STRIP, _stem_index_sql, _stem_query_sql
 from quarrylight.session import cut, table
 
 QUERIES, SQL = {}, {}
@@ -33,6 +34,19 @@ EDGES = """edges AS (SELECT chunk_id AS src, 'doc::' || doc_name AS dst, 'belong
 CROSS = "across AS (SELECT entity, count(DISTINCT doc_name) AS n_docs FROM links JOIN c USING (chunk_id) GROUP BY 1 HAVING count(DISTINCT doc_name) > 1)"
 NAMES = f"names AS (SELECT DISTINCT entity, {_S('lower(n)')} AS name FROM (SELECT 'entity::' || canonical_id AS entity, unnest(list_filter(list_prepend(name, coalesce(mentions, [])), lambda x: x IS NOT NULL)) AS n FROM (SELECT *, {NORM} AS norm FROM entities WHERE name IS NOT NULL) JOIN canon USING (norm)) WHERE length({_S('lower(n)')}) >= 2)"
 ALL = f"WITH {CANON}, {CHUNKS}, {SECTIONS}, {LINKS}, {RELS}, {EDGES}, {CROSS}, {NAMES} "
+NODES = f"""occ AS (SELECT 'entity::' || canonical_id AS entity, name, entity_type, value, source_doc, (extracted_at, mention_id) AS seen FROM (SELECT *, {NORM} AS norm FROM entities WHERE name IS NOT NULL) JOIN canon USING (norm)),
+first_of AS (SELECT DISTINCT ON (entity) entity, name, entity_type, value, source_doc FROM occ ORDER BY entity, seen),
+spelled AS (SELECT entity, list(name ORDER BY seen) AS mentions FROM (SELECT entity, name, min(seen) AS seen FROM occ GROUP BY 1, 2) GROUP BY 1),
+nn AS (SELECT * FROM first_of JOIN spelled USING (entity))"""
+WORDS = f"""kw AS (SELECT query_id, lower(question) AS q, {_QUESTION} AS kw, list_distinct(list_transform({_QUESTION}, lambda w: {_stem_query_sql('w')})) AS ks FROM (SELECT DISTINCT query_id, question FROM eval_queries WHERE question IS NOT NULL)),
+toks AS (SELECT DISTINCT {_stem_index_sql('w')} AS stem, entity FROM (SELECT entity, unnest(regexp_split_to_array(name, '\\s+')) AS w FROM names) WHERE length(w) > 1),
+cand AS (SELECT DISTINCT query_id, entity FROM (SELECT query_id, unnest(list_concat(kw, ks)) AS stem FROM kw) JOIN toks USING (stem)),
+nw AS (SELECT entity, {_S('lower(name)')} AS name, entity_type, list_distinct(list_filter(regexp_split_to_array({_S('lower(name)')}, '\\s+'), lambda w: length(w) > 0 AND NOT list_contains({_STOP}, w))) AS w FROM nn),
+nv AS (SELECT *, list_distinct(list_transform(w, lambda x: {_stem_query_sql('x')})) AS ws FROM nw WHERE length(name) >= 2),
+by_words AS (SELECT query_id, entity FROM cand JOIN nv USING (entity) JOIN kw USING (query_id) WHERE (length(name) > 2 AND contains(q, name))
+ OR (len(w) > 0 AND greatest(len(list_intersect(w, kw)), len(list_intersect(ws, ks))) >= greatest(1.0::double, 0.5::double * len(w)))
+ OR (coalesce(entity_type IN ('organization', 'role', 'regulation', 'product'), false) AND len(list_filter(w, lambda x: length(x) > 3 AND (contains(q, x) OR list_contains(ks, {_stem_query_sql('x')})))) > 0)),
+matched AS (SELECT query_id, entity FROM by_words UNION SELECT DISTINCT query_id, entity FROM eval_queries JOIN names ON contains(lower(question), name) AND length(name) >= 3)"""
 WITH_REC = ALL.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
@@ -52,11 +66,25 @@ def align_jaccard(spark, root):
     return G.similar_names(G.canonical_names(table(spark, root, "entities")), 0.8)
 
 
-@query(f"WITH {CANON} SELECT (SELECT count(DISTINCT entity_id) FROM entities WHERE name IS NOT NULL AND entity_id IS NOT NULL AND {NORM} <> '') AS n_entities, count(DISTINCT canonical_id) AS n_canonical FROM canon")
+_MERGED = f"""WITH RECURSIVE {CANON}, n AS (SELECT *, {STEMS_OF_NORM} AS stems FROM canon),
+p AS (SELECT a.norm, arg_min(b.norm, (-(len(list_intersect(a.stems, b.stems)) / len(list_distinct(a.stems || b.stems))::double), b.seen)) AS up FROM n a JOIN n b ON len(a.stems) > 0 AND len(b.stems) > 0 AND b.seen > a.seen
+  AND len(list_intersect(a.stems, b.stems)) / len(list_distinct(a.stems || b.stems))::double >= 0.85::double GROUP BY 1),
+w AS (SELECT norm, norm AS spot, 0 AS d FROM n UNION ALL SELECT w.norm, p.up, d + 1 FROM w JOIN p ON p.norm = w.spot),
+m AS (SELECT norm, arg_max(spot, d) AS root FROM w GROUP BY 1), merged AS (SELECT n.norm, n.canonical_id, r.canonical_id AS merged_id FROM n JOIN m USING (norm) JOIN n r ON r.norm = m.root)
+"""
+
+
+@query(_MERGED + "SELECT norm, canonical_id, merged_id FROM merged")
+def align_merged(spark, root):
+    return G.merged_names(G.canonical_names(table(spark, root, "entities")))
+
+
+@query(_MERGED + f"SELECT (SELECT count(DISTINCT entity_id) FROM entities WHERE name IS NOT NULL AND entity_id IS NOT NULL AND {NORM} <> '') AS n_entities, count(DISTINCT canonical_id) AS n_exact, count(DISTINCT merged_id) AS n_canonical, (SELECT count(DISTINCT entity_id) FROM entities WHERE name IS NOT NULL AND entity_id IS NOT NULL AND {NORM} <> '') - count(DISTINCT merged_id) AS n_merged FROM merged")
 def align_stats(spark, root):
     e = table(spark, root, "entities")
-    named = e.where("name is not null and entity_id is not null").where(F.trim("name") != "")
-    return named.agg(F.count_distinct("entity_id").alias("n_entities")).join(G.canonical_names(e).agg(F.count_distinct("canonical_id").alias("n_canonical")))
+    named = e.where("name is not null and entity_id is not null").where(T.strip(F.col("name")) != "").agg(F.count_distinct("entity_id").alias("n_entities"))
+    merged = G.merged_names(G.canonical_names(e)).agg(F.count_distinct("canonical_id").alias("n_exact"), F.count_distinct("merged_id").alias("n_canonical"))
+    return named.join(merged).withColumn("n_merged", F.col("n_entities") - F.col("n_canonical"))
 
 
 @query(ALL + """SELECT chunk_id AS id, 'chunk' AS node_type, CASE WHEN element_type = 'text' THEN 'text' ELSE 'cross_modal' END AS layer, NULL AS name, doc_name, NULL::int AS depth FROM c
@@ -109,12 +137,15 @@ def query_entity_match(spark, root):
     return G.match_questions(table(spark, root, "eval_queries").where("question is not null"), G.name_index(table(spark, root, "entities")))
 
 
+@query(ALL + f", {NODES}, {WORDS} SELECT query_id, entity FROM by_words")
 def query_entity_words(spark, root):
     e = table(spark, root, "entities")
-    return G.match_by_words(table(spark, root, "eval_queries").where("question is not null"), G.name_index(e), G.token_index(e))
+    return G.match_by_words(table(spark, root, "eval_queries").where("question is not null"), G.entity_nodes(e), G.token_index(e))
 
 
-QUERIES["query_entity_words"] = query_entity_words
+@query(ALL + f", {NODES} SELECT entity, name, entity_type, value, source_doc, array_to_string(mentions, '|') AS mentions FROM nn")
+def entity_nodes(spark, root):
+    return G.entity_nodes(table(spark, root, "entities")).withColumn("mentions", F.array_join("mentions", "|"))
 
 
 @query(ALL + "SELECT entity, name FROM names WHERE contains(name, 'council')")
@@ -123,21 +154,6 @@ def find_entity(spark, root):
 
 
 _SEEDS = "seeds AS (SELECT DISTINCT 'all' AS query_id, entity AS node FROM names WHERE contains(name, 'council of monetary'))"
-_BOTH = "e2 AS (SELECT DISTINCT src, dst FROM (SELECT src, dst, relation_type FROM edges UNION ALL SELECT dst, src, relation_type FROM edges) WHERE src <> dst AND relation_type NOT IN ('belongs_to_document', 'belongs_to_section', 'child_of_section', 'table_belongs_to_clause'))"
-
-
-@query(WITH_REC + f", {_SEEDS}, {_BOTH}, r AS (SELECT node, 0 AS hop FROM seeds UNION SELECT e2.dst, r.hop + 1 FROM r JOIN e2 ON e2.src = r.node WHERE r.hop < 2) SELECT 'all' AS query_id, node, min(hop) AS hop FROM r GROUP BY node")
-def bfs_2hop(spark, root):
-    e = table(spark, root, "entities")
-    seeds = G.name_index(e).where(F.contains("name", F.lit("council of monetary"))).select(F.lit("all").alias("query_id"), F.col("entity").alias("node"))
-    return G.expand(seeds, graph_edges(spark, root), 2)
-
-
-@query(WITH_REC + f", {_SEEDS}, e3 AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst), r AS (SELECT node, 0 AS hop FROM seeds UNION SELECT e3.dst, r.hop + 1 FROM r JOIN e3 ON e3.src = r.node WHERE r.hop < 1) SELECT 'all' AS query_id, node, min(hop) AS hop FROM r GROUP BY node")
-def neighbors_khop(spark, root):
-    e = table(spark, root, "entities")
-    seeds = G.name_index(e).where(F.contains("name", F.lit("council of monetary"))).select(F.lit("all").alias("query_id"), F.col("entity").alias("node"))
-    return G.expand(seeds, graph_edges(spark, root), 1, skip=())
 
 
 @query(WITH_REC + f", {_SEEDS}, e3 AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst), r AS (SELECT node, 0 AS hop FROM seeds UNION SELECT e3.dst, r.hop + 1 FROM r JOIN e3 ON e3.src = r.node WHERE r.hop < 2) SELECT 'all' AS query_id, node, min(hop) AS hop FROM r GROUP BY node")
@@ -171,7 +187,7 @@ QUERIES["shortest_path"] = shortest_path
 @query(ALL + """, w AS (SELECT DISTINCT r.query_id, l.entity FROM (SELECT DISTINCT query_id, unnest(connected_entities) AS n FROM retrieval_results) r JOIN (SELECT DISTINCT name, entity AS entity FROM names) l ON lower(r.n) = l.name),
 k AS (SELECT DISTINCT query_id, chunk_id FROM retrieval_results), j AS (SELECT k.query_id, k.chunk_id, count(*) * 2 AS n, max(CASE WHEN w.entity IS NULL THEN 0 ELSE 1 END) AS wanted, max(CASE WHEN a.entity IS NULL THEN 0 ELSE 1 END) AS x
  FROM k JOIN links USING (chunk_id) LEFT JOIN w ON w.query_id = k.query_id AND w.entity = links.entity LEFT JOIN across a ON a.entity = links.entity GROUP BY 1, 2)
-SELECT k.query_id, k.chunk_id, coalesce(round(least(0.3::double * least(n / 5.0::double, 1.0::double) + 0.5::double * wanted + 0.2::double * x, 1.0::double), 4), 0.0::double) AS graph_score FROM k LEFT JOIN j USING (query_id, chunk_id)""")
+SELECT k.query_id, k.chunk_id, CASE WHEN n IS NULL THEN 0.0::double ELSE round(least(0.3::double * least(n / 5.0::double, 1.0::double) + 0.5::double * wanted + 0.2::double * x, 1.0::double), 4) END AS graph_score FROM k LEFT JOIN j USING (query_id, chunk_id)""")
 def graph_score(spark, root):
     e, c, r = _t(spark, root, "entities", "chunks", "retrieval_results")
     named = r.select("query_id", F.explode("connected_entities").alias("n")).select("query_id", F.lower("n").alias("name")).distinct()

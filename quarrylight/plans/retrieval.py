@@ -94,7 +94,7 @@ def semantic_breaks(spark, root):
 QUERIES["semantic_breaks"] = semantic_breaks
 
 _R = "r AS (SELECT DISTINCT ON (query_id, chunk_id) * FROM retrieval_results)"
-_FUSED = "round(CASE WHEN retrieval_mode = 'vector_only' THEN coalesce(vector_score, 0.0::double) * (0.4::double / (0.4::double + 0.2::double)) + coalesce(policy_score, 1.0::double) * (0.2::double / (0.4::double + 0.2::double)) ELSE coalesce(vector_score, 0.0::double) * 0.4::double + coalesce(graph_score, 0.0::double) * 0.4::double + coalesce(policy_score, 1.0::double) * 0.2::double END, 4)"
+_FUSED = "round(round(CASE WHEN retrieval_mode = 'vector_only' THEN coalesce(vector_score, 0.0::double) * (0.4::double / (0.4::double + 0.2::double)) + coalesce(policy_score, 1.0::double) * (0.2::double / (0.4::double + 0.2::double)) ELSE coalesce(vector_score, 0.0::double) * 0.4::double + coalesce(graph_score, 0.0::double) * 0.4::double + coalesce(policy_score, 1.0::double) * 0.2::double END, 9)::decimal(18, 9), 4)::double"
 _RANKED = f"{_R}, s AS (SELECT *, {_FUSED} AS score FROM r), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_score DESC NULLS LAST, chunk_id)::int AS rank FROM s QUALIFY rank <= 5)"
 _ONE = "k AS (SELECT DISTINCT ON (chunk_id) chunk_id, section_path, element_type, content FROM chunks)"
 
@@ -108,7 +108,7 @@ def hybrid_retrieve(spark, root):
     return R.ranked(_results(spark, root), k=R.TOP_K).select("query_id", "chunk_id", "score", "rank")
 
 
-@query(f"WITH {_R}, top AS (SELECT *, round(coalesce(vector_score, 0.0::double), 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(vector_score, 0.0::double), 4) DESC, vector_score DESC NULLS LAST, chunk_id)::int AS rank FROM r QUALIFY rank <= 5) SELECT query_id, chunk_id, score, rank FROM top")
+@query(f"WITH {_R}, top AS (SELECT *, round(round(coalesce(vector_score, 0.0::double), 9)::decimal(18, 9), 4)::double AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(round(coalesce(vector_score, 0.0::double), 9)::decimal(18, 9), 4)::double DESC, vector_score DESC NULLS LAST, chunk_id)::int AS rank FROM r QUALIFY rank <= 5) SELECT query_id, chunk_id, score, rank FROM top")
 def vector_only_retrieve(spark, root):
     return R.ranked(_results(spark, root), F.coalesce("vector_score", F.lit(0.0)), R.TOP_K).select("query_id", "chunk_id", "score", "rank")
 
@@ -132,7 +132,7 @@ def confidence(spark, root):
     return R.confidence(R.ranked(_results(spark, root), k=R.TOP_K))
 
 
-@query(f"""WITH {_RANKED}, va AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(vector_score, 0.0::double), 4) DESC, vector_score DESC NULLS LAST, chunk_id) AS rank FROM r QUALIFY rank <= 5)
+@query(f"""WITH {_RANKED}, va AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(round(coalesce(vector_score, 0.0::double), 9)::decimal(18, 9), 4)::double DESC, vector_score DESC NULLS LAST, chunk_id) AS rank FROM r QUALIFY rank <= 5)
 SELECT query_id, count(*) FILTER (b.rank IS NULL) AS only_vector, count(*) FILTER (a.rank IS NULL) AS only_fused, count(*) FILTER (a.rank IS NOT NULL AND b.rank IS NOT NULL) AS shared, count(*) FILTER (a.rank <> b.rank) AS moved FROM va a FULL JOIN top b USING (query_id, chunk_id) GROUP BY 1""")
 def ab_compare(spark, root):
     return R.compare(_results(spark, root))
@@ -158,36 +158,6 @@ def refusal(spark, root):
 
 QUERIES["refusal"] = refusal
 
-# a query of the log is judged by the evaluation item whose number is its own modulo 120
-_EXPECTED = """x AS (SELECT DISTINCT r.query_id, coalesce(nullif(e.expected_docs, []), CASE WHEN e.source_doc IS NULL THEN [] ELSE [e.source_doc] END) AS want, e.source_section, coalesce(e.expected_entities, []) AS entities, e.reasoning_type
- FROM (SELECT DISTINCT query_id, (substr(query_id, 3)::bigint % 120)::bigint + 1 AS n FROM retrieval_results) r JOIN (SELECT DISTINCT * FROM eval_queries) e ON e.query_id = (CASE WHEN r.n % 2 = 0 THEN 'q' ELSE 'mh' END) || lpad(r.n::varchar, 3, '0'))"""
-_METRICS = f"""WITH {_RANKED}, {_ONE}, {_EXPECTED}, p AS (SELECT query_id, list(lower(doc_name)) AS docs, list(lower(coalesce(array_to_string(section_path, ' > '), ''))) AS sections, string_agg(lower(coalesce(content, '')), ' ' ORDER BY lower(coalesce(content, ''))) AS text FROM (SELECT top.query_id, top.chunk_id, top.doc_name, k.section_path, k.content FROM top LEFT JOIN k USING (chunk_id)) GROUP BY 1),
-m AS (SELECT query_id, reasoning_type, CASE WHEN len(want) > 0 THEN round(len(list_filter(want, lambda w: len(list_filter(docs, lambda d: contains(d, lower(w)))) > 0)) / len(want)::double, 4) ELSE 0.0::double END AS recall,
- round(len(list_filter(docs, lambda d: len(list_filter(want, lambda w: contains(d, lower(w)))) > 0)) / len(docs)::double, 4) AS "precision",
- CASE WHEN source_section IS NULL OR source_section = '' THEN 0.0::double ELSE (len(list_filter(sections, lambda s: contains(s, lower(source_section)))) > 0)::int::double END AS section_recall,
- CASE WHEN len(entities) > 0 THEN round(len(list_filter(entities, lambda w: contains(text, lower(w)))) / len(entities)::double, 4) END AS entity_recall FROM x JOIN p USING (query_id))
-"""
-
-
-def _expected(spark, root):
-    n = F.substring("query_id", 3, 20).cast("bigint") % 120 + 1
-    log = _results(spark, root).select("query_id", n.alias("n")).distinct().withColumn("item", F.concat(F.when(F.col("n") % 2 == 0, "q").otherwise("mh"), F.lpad(F.col("n").cast("string"), 3, "0")))
-    e = table(spark, root, "eval_queries").distinct().withColumnRenamed("query_id", "item")
-    docs = F.when(F.size("expected_docs") > 0, F.col("expected_docs")).when(F.col("source_doc").isNotNull(), F.array("source_doc"))
-    return log.join(e, "item").select("query_id", "reasoning_type", "source_section", "expected_entities", docs.alias("expected_docs"))
-
-
-@query(_METRICS + 'SELECT query_id, recall, "precision", section_recall, entity_recall FROM m')
-def eval_metrics(spark, root):
-    return R.retrieval_metrics(R.ranked(_results(spark, root), k=R.TOP_K), _expected(spark, root), table(spark, root, "chunks"))
-
-
-@query(_METRICS + 'SELECT reasoning_type, count(*) AS n, round(avg(recall), 4) AS avg_recall, round(avg("precision"), 4) AS avg_precision, round(avg(section_recall), 4) AS avg_section_recall, round(avg(entity_recall), 4) AS avg_entity_recall FROM m GROUP BY GROUPING SETS ((reasoning_type), ())')
-def eval_by_type(spark, root):
-    types = _expected(spark, root).select("query_id", "reasoning_type")
-    return R.report(eval_metrics(spark, root).join(types, "query_id"), "reasoning_type")
-
-
 @query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT chunk_id, token_estimate FROM chunks) WHERE token_estimate > 512) AS oversize, (SELECT count(DISTINCT doc_name) FROM chunks WHERE doc_name NOT IN (SELECT source_doc FROM entities WHERE source_doc IS NOT NULL)) AS docs_without_entities,
  (SELECT count(DISTINCT rel_id) FROM relations WHERE relation_type IS NULL) AS untyped_relations, (SELECT count(DISTINCT chunk_id) FROM chunks WHERE deleted_at IS NOT NULL) AS deleted_chunks""")
 def health_check(spark, root):

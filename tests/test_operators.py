@@ -206,34 +206,6 @@ def test_fusion_weights(spark):
     assert got == [1.0, 1.0, round(1 / 3, 6)]
 
 
-def py_stem(w):
-    rules = [("ies", 4, 3, "y"), ("ing", 5, 3, ""), ("tion", 5, 4, ""), ("ment", 5, 4, ""), ("ness", 5, 4, ""), ("ed", 4, 2, ""), ("es", 4, 2, "")]
-    for end, least, cut, add in rules:
-        if w.endswith(end) and len(w) > least:
-            return w[:-cut] + add
-    return w[:-1] if w.endswith("s") and not w.endswith("ss") and len(w) > 3 else w
-
-
-def test_questions_are_matched_by_words(spark):
-    names = {"e1": "loan limits", "e2": "class action", "e3": "board of audit partners", "e4": "limit"}
-    index = spark.createDataFrame(list(names.items()), "entity string, name string")
-    tokens = index.select("entity", F.explode(F.split("name", " ")).alias("w")).where(F.length("w") > 1).select(T.stem_index(F.col("w")).alias("stem"), "entity").distinct()
-    questions = {"q1": "what is the limit for loans", "q2": "who is in class", "q3": "the board", "q4": "nothing here"}
-    df = spark.createDataFrame([*questions.items(), ("q5", None)], "query_id string, question string").where("question is not null")
-    got = {(r.query_id, r.entity) for r in G.match_by_words(df, index, tokens).collect()}
-    indexed = {(r.stem, r.entity) for r in tokens.collect()}
-    want = set()
-    for q, text in questions.items():
-        words = set(text.split()) - set(T.STOP_WORDS)
-        stems = {py_stem(w) for w in words}
-        for e, name in names.items():
-            own = set(name.split())
-            hits = max(len(own & words), len({py_stem(w) for w in own} & stems))
-            if hits >= max(1, 0.5 * len(own)) and any((s, e) in indexed for s in stems | words):
-                want.add((q, e))
-    assert got == want and ("q1", "e1") in got
-
-
 def test_similar_names_against_brute_force(spark):
     rnd = random.Random(7)
     names = sorted({" ".join(sorted(rnd.sample("alpha beta gamma delta epsilon zeta eta".split(), rnd.randint(1, 5)))) for _ in range(60)})
