@@ -123,7 +123,8 @@ class LanguageModel:
             for g in _grams(codes):
                 ok = np.flatnonzero(g >= 0)
                 cut = np.searchsorted(ok, np.append(starts, len(codes)))
-                running = np.zeros((len(ok) + 1, len(self.languages)), np.float32)
+                # in double precision, so that what stands before a text in its block does not tell
+                running = np.zeros((len(ok) + 1, len(self.languages)))
                 np.cumsum(self.weights[g[ok]], axis=0, out=running[1:])
                 logits = logits + running[cut[1:]] - running[cut[:-1]]
                 counts = counts + (cut[1:] - cut[:-1])

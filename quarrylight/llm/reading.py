@@ -31,8 +31,7 @@ from quarrylight.llm.langid import LanguageModel
 from quarrylight.llm.sentences import sentence_spans
 
 GRADED, GRADED_CHARS = 3000, 100_000
-#: counts are kept in tables of this size; weights of the interpolated orders from trigram to uniform
-SLOTS = 1 << 18
+#: weights of the interpolated orders from trigram to uniform
 LAMBDA = (0.3, 0.35, 0.3, 0.05)
 # Languages in Latin script.
 LATIN = frozenset("en de fr es pt it nl sv da no fi pl cs ro hu ca tr id vi".split())
@@ -43,36 +42,60 @@ def words(text: str) -> list[str]:
     return ["0" if w[0].isdigit() else w for w in _WORD.findall(text.lower())]
 
 
-def _keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the bigram and the trigram that end at each word."""
-    x = ids.astype(np.uint64)
-    one = np.concatenate((np.zeros(1, np.uint64), x[:-1])) if len(x) else x
-    two = np.concatenate((np.zeros(min(2, len(x)), np.uint64), x[:-2])) if len(x) else x
-    with np.errstate(over="ignore"):
-        h2 = (one * np.uint64(0x9E3779B97F4A7C15) ^ x) * np.uint64(0xBF58476D1CE4E5B9)
-        h3 = (two * np.uint64(0x94D049BB133111EB) ^ h2) * np.uint64(0xD6E8FEB86659FD93)
-    return (h2 >> np.uint64(40)).astype(np.int64) % SLOTS, (h3 >> np.uint64(40)).astype(np.int64) % SLOTS
+def _behind(ids: np.ndarray, k: int) -> np.ndarray:
+    """The words k places before each."""
+    return np.concatenate((np.zeros(min(k, len(ids)), np.int64), ids[:-k]))
+
+
+class NGrams:
+    """Numbers of the pairs and triples of words that occur in graded documents; 0 for all others.  Nothing is hashed."""
+
+    def __init__(self, docs: Sequence[np.ndarray], size: int) -> None:
+        self.base = size + 1
+        codes = [self._pairs(d) for d in docs]
+        self.pairs = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+        triples = [self._triples(d, self._find(self.pairs, c)) for d, c in zip(docs, codes)]
+        self.triples = np.unique(np.concatenate(triples)) if triples else np.zeros(0, np.int64)
+
+    def _pairs(self, ids: np.ndarray) -> np.ndarray:
+        return _behind(ids, 1) * self.base + ids
+
+    def _triples(self, ids: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        return _behind(ids, 2) * (len(self.pairs) + 1) + pair
+
+    @staticmethod
+    def _find(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(codes), np.int64)
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return np.where(known[at] == codes, at + 1, 0)
+
+    def numbers(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pair and the triple that end at each word; a triple whose pair is unknown is unknown."""
+        pair = self._find(self.pairs, self._pairs(ids))
+        triple, seen = np.zeros(len(ids), np.int64), np.flatnonzero(pair)
+        triple[seen] = self._find(self.triples, self._triples(ids, pair)[seen])
+        return pair, triple
 
 
 class NGramModel:
     """Interpolated trigram model over word ids; 0 is the word that was not seen."""
 
-    def __init__(self, docs: Sequence[np.ndarray], size: int) -> None:
-        self.size = size
-        self.one = np.zeros(size + 1, np.float32)
-        self.two, self.three = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
+    def __init__(self, docs: Sequence[np.ndarray], grams: NGrams) -> None:
+        self.size = grams.base - 1
+        self.one, self.two, self.three = (np.zeros(n + 1, np.float32) for n in (self.size, len(grams.pairs), len(grams.triples)))
         for d in docs:
+            a, b = grams.numbers(d)
             np.add.at(self.one, d, 1)
-            a, b = _keys(d)
             np.add.at(self.two, a, 1)
             np.add.at(self.three, b, 1)
+        self.two[0] = self.three[0] = 0
         self.total = max(1.0, float(self.one.sum()))
 
     def surprisal(self, ids: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Bits of each word after the two before it; ``keys`` are the slots of its bigram and trigram."""
+        """Bits of each word after the two before it; ``keys`` are the numbers of its pair and triple."""
         a, b = keys
-        before = np.concatenate((np.zeros(1, ids.dtype), ids[:-1]))
-        pair = np.concatenate((np.zeros(1, a.dtype), a[:-1]))
+        before, pair = _behind(ids, 1), _behind(a, 1)
         p = LAMBDA[3] / (self.size + 1) + LAMBDA[2] * (self.one[ids] + 0.02) / (self.total + 0.02 * (self.size + 1))
         p += LAMBDA[1] * self.two[a] / np.maximum(self.one[before], self.two[a] + 1)
         p += LAMBDA[0] * self.three[b] / np.maximum(self.two[pair], self.three[b] + 1)
@@ -97,6 +120,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class ReadingModel:
     vocabulary: dict[str, int]
+    grams: NGrams
     models: list[NGramModel]
     grades: list[int]
     knots: np.ndarray
@@ -115,7 +139,7 @@ class ReadingModel:
         # two unseen words before each text, so that none begins in another
         gap = np.zeros(2, np.int64)
         ids = np.concatenate([p for x in each for p in (gap, x)])
-        keys = _keys(ids)
+        keys = self.grams.numbers(ids)
         owner = np.repeat(np.arange(len(each)), n + 2)
         inside = np.ones(len(ids), bool)
         inside[np.cumsum(n + 2) - n - 2] = inside[np.cumsum(n + 2) - n - 1] = False
@@ -148,20 +172,21 @@ def fit_reading(texts: Sequence[str], grades: Sequence[int], folds: int = 4, see
         for w in t:
             vocabulary.setdefault(w, len(vocabulary) + 1)
     ids = [np.array([vocabulary[w] for w in t], np.int64) for t in tokens]
+    grams = NGrams(ids, len(vocabulary))
     y = np.array(grades)
     names = {t: i for i, t in enumerate(sorted(set(texts)))}
     part = np.random.default_rng(seed).integers(0, folds, len(names))[[names[t] for t in texts]]
     score = np.zeros(len(texts))
 
     def models(rows: np.ndarray) -> list[NGramModel]:
-        return [NGramModel([ids[i] for i in np.flatnonzero(rows & (y == k))], len(vocabulary)) for k in kinds]
+        return [NGramModel([ids[i] for i in np.flatnonzero(rows & (y == k))], grams) for k in kinds]
 
     for f in range(folds):
-        unseen = ReadingModel(vocabulary, models(part != f), kinds, np.zeros(1), np.zeros(1))
+        unseen = ReadingModel(vocabulary, grams, models(part != f), kinds, np.zeros(1), np.zeros(1))
         rows = np.flatnonzero(part == f)
         score[rows] = [x[2] for x in unseen.profiles([texts[i] for i in rows])]
     knots, levels = isotonic(score, y.astype(float))
-    return ReadingModel(vocabulary, models(np.ones(len(y), bool)), kinds, knots, levels)
+    return ReadingModel(vocabulary, grams, models(np.ones(len(y), bool)), kinds, knots, levels)
 
 
 def graded_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, grade: str, most: int = GRADED) -> list[tuple[str, int]]:
