@@ -119,16 +119,16 @@ class LanguageModel:
                 size += len(texts[b]) + 1
                 b += 1
             codes, starts = _codes(texts[a:b])
-            logits, counts = 0.0, 0.0
+            sums, counts = np.zeros((b - a, len(self.languages)), np.float32), 0.0
             for g in _grams(codes):
                 ok = np.flatnonzero(g >= 0)
                 cut = np.searchsorted(ok, np.append(starts, len(codes)))
-                # in double precision, so that what stands before a text in its block does not tell
-                running = np.zeros((len(ok) + 1, len(self.languages)))
-                np.cumsum(self.weights[g[ok]], axis=0, out=running[1:])
-                logits = logits + running[cut[1:]] - running[cut[:-1]]
+                # each text's sum by itself, so that what stands before it in its block does not tell
+                some = cut[1:] > cut[:-1]
+                if some.any():
+                    sums[some] += np.add.reduceat(self.weights.take(g[ok], axis=0), cut[:-1][some], axis=0)
                 counts = counts + (cut[1:] - cut[:-1])
-            z = (logits / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
+            z = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
             z[counts == 0] = 0
             z = np.exp(z - z.max(axis=1, keepdims=True))
             out[a:b] = z / z.sum(axis=1, keepdims=True)

@@ -219,7 +219,8 @@ def all_in_language(model: LanguageModel, texts: Sequence[str], lang: str, sure:
         for i in rows:
             own = spans[i][part]
             said = [x for j, x in enumerate(own, at) if best[j] != k and top[j] >= sure]
-            ok[i] = not any(sum(c.isalpha() for c in x) >= least_letters for x in said)
+            # a run of one letter is no language
+            ok[i] = not any(sum(c.isalpha() for c in x) >= least_letters and len(set(x)) > 4 for x in said)
             at += len(own)
     return ok.tolist()
 

@@ -205,13 +205,14 @@ for _lang, _listed in FUNCTION_WORDS.items():
         _LANGUAGES_OF[_w] = (*_LANGUAGES_OF.get(_w, ()), _lang)
 _LATIN_WORD = re.compile(r"[a-zß-öø-ÿœ]+")
 #: code points on either side of a position in which function words are counted
-_AROUND = 160
+_NEAR, _AROUND = 60, 160
 
 
 def spoken_around(text: str, start: int, at: int) -> frozenset[str]:
     """The languages whose function words are most frequent in the sentence up to a position, or behind it where it has none
     yet; all of them where there is none at all."""
-    for part in (text[max(start, at - _AROUND) : at], text[at : at + _AROUND]):
+    # the nearest first, as a unit that lacks its final mark may run on into another language
+    for part in (text[max(start, at - _NEAR) : at], text[max(start, at - _AROUND) : at], text[at : at + _AROUND]):
         counts = dict.fromkeys(FUNCTION_WORDS, 0)
         for w in _LATIN_WORD.findall(part.lower()):
             for lang in _LANGUAGES_OF.get(w, ()):
