@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrylight.plans import chunking, graph, ingest, references, retrieval, search, text
+from quarrylight.plans import chunking, extraction, graph, ingest, references, retrieval, search, text
 
-_MODULES = (ingest, text, chunking, graph, retrieval, search, references)
+_MODULES = (ingest, text, chunking, graph, extraction, retrieval, search, references)
 
 
 def queries() -> dict:
