@@ -3,10 +3,9 @@
 Method: every string is rewritten, by rules, into canonical forms: case and
 marks, titles, token order, nicknames, initials, legal forms, short forms of
 company words, acronyms, transliterations, and one typing slip.  Forms are
-exploded and equi-joined.  How much a shared form says depends on its rarity:
-the number of identities that have it.  A form of a whole name links what has
-it if few identities do; a string that is less than a whole name (initial,
-ambiguous nickname, acronym) is linked only if one identity alone fits.
+exploded and equi-joined.  A form links all that have it, however many they
+are; a string that is less than a whole name (initial, ambiguous nickname,
+acronym) is linked only if one identity alone fits.
 
 Defined results
 * null, empty and blank strings, and strings without letters: no link;
@@ -14,6 +13,7 @@ Defined results
   with itself, and repeated rows change nothing but the vote on the kind;
 * an initial that fits two relatives, an acronym that fits two sisters: no link
   to either (strings of the same incomplete form are linked to each other);
+* names that differ in a number (Fund 11, Fund 12): never taken for a slip;
 * very long strings: no slip is sought beyond 80 letters, all else holds;
 * empty tables: no pair.  Other columns are not looked at.
 """
@@ -151,6 +151,11 @@ def _tokens(s: str) -> list[str]:
     return re.findall(r"[^\W_]+", s)
 
 
+def _numbers(tokens: list[str]) -> str:
+    """The numbers among the tokens, which a form of a slip keeps whole: another number is another name."""
+    return "".join(f"#{t}" for t in tokens if t.isdigit())
+
+
 def rewritings(raw: str | None) -> list[tuple[str, str, int, str]]:
     """(use, form, whole, identity) of a string.
 
@@ -177,6 +182,7 @@ def rewritings(raw: str | None) -> list[tuple[str, str, int, str]]:
     if len(bare) == 1 and len(words) == 1 and 3 <= len(raw.strip()) <= 5 and raw.strip().isalpha() and raw.strip().isupper():
         company = True
     if company and bare:
+        numbers = _numbers(bare)
         joined, ordered = re.sub(r"(?:company|limited)$", "", "".join(bare)), "".join(sorted(bare))
         identity = "o:" + ordered
         capitals = [t for t in re.findall(r"[^\W\d_]+", raw) if 3 <= len(t) <= 5 and t.isupper()] if raw != raw.upper() or len(bare) == 1 else []
@@ -190,7 +196,7 @@ def rewritings(raw: str | None) -> list[tuple[str, str, int, str]]:
         if short and len(bare) == 2:
             return [("link", identity, 0, identity), *short]
         out = [("link", identity, 1, identity), ("link", "j:" + joined, 1, identity), ("link", "s:" + sound(joined), 1, identity), ("link", "s:" + sound(ordered), 1, identity)]
-        out += [("link", "t:" + s, 1, identity) for s in slips(joined, sound(joined))]
+        out += [("link", "t:" + s + numbers, 1, identity) for s in slips(joined, sound(joined))]
         significant = [w for w in words if w not in _SMALL and (w not in LEGAL or w in ("co", "company"))]
         first, rest = bare[0], "".join(w[0] for w in significant if w != bare[0])
         if len(significant) >= 3:
@@ -220,43 +226,42 @@ def rewritings(raw: str | None) -> list[tuple[str, str, int, str]]:
     if len(options) > 1:
         identity = "n:" + "/".join(sorted(options)) + ":" + ear
         return [("link", "u" + identity, 0, identity)] + [("seek", f"p:{g}:{ear}", 0, identity) for g in options] + [("seek", f"p~:{g}:{s}", 0, identity) for g in options for s in slips(surname, ear)]
-    g = options[0]
+    g, numbers = options[0], _numbers(full)
     identity = f"p:{g}:{ear}"
     pair = ":".join(sorted((g, ear)))
     out = [("link", identity, 1, identity), ("link", "q:" + pair, 1, identity), ("link", "j:" + "".join(full), 1, identity), ("link", "j:" + "".join(full[::-1]), 1, identity)]
-    out += [("link", f"t:{g}:{s}", 1, identity) for s in slips(surname, ear)]
+    out += [("link", f"t:{g}:{s}{numbers}", 1, identity) for s in slips(surname, ear)]
     if g not in _GIVEN:
-        out += [("link", f"t:{s}:{ear}", 1, identity) for s in slips(g)]
+        out += [("link", f"t:{s}:{ear}{numbers}", 1, identity) for s in slips(g)]
     out += [("fit", identity, 1, identity), ("fit", f"i:{g[0]}:{ear}", 1, identity)] + [("fit", f"i~:{g[0]}:{s}", 1, identity) for s in slips(surname, ear)] + [("fit", f"p~:{g}:{s}", 1, identity) for s in slips(surname, ear)]
     return out
 
 
-_FORMS = "sid string, use string, form string, identity string"
+_FORMS = "sid string, use string, form string"
 
 
 def name_forms(strings: DataFrame) -> DataFrame:
-    """(sid) -> (sid, use, form, identity), one row per rewriting."""
+    """(sid) -> (sid, use, form), one row per rewriting."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(s, use, form, identity) for s in pdf["sid"] for use, form, _, identity in rewritings(s)]
-            yield pd.DataFrame(rows, columns=["sid", "use", "form", "identity"])
+            rows = [(s, use, form) for s in pdf["sid"] for use, form, *_ in rewritings(s)]
+            yield pd.DataFrame(rows, columns=["sid", "use", "form"])
 
     return strings.select("sid").mapInPandas(run, _FORMS)
 
 
-def link_names(strings: DataFrame, sid: str = "sid", max_identities: int = 6) -> DataFrame:
+def link_names(strings: DataFrame, sid: str = "sid") -> DataFrame:
     """(sid, entity) of every distinct string that shares its entity with another.
 
-    ``max_identities``: a form that more identities have is too common to link by.  The number of strings per form is
-    not limited; they are linked to the least of them, never to each other.
+    The number of strings and of identities per form is not limited; strings are linked to the least of them, never to
+    each other.
     """
     forms = name_forms(strings.select(F.col(sid).alias("sid")).where(F.col("sid").isNotNull()).distinct())
     forms = cut(forms)
     link = forms.where("use = 'link'")
-    rarity = link.groupBy("form").agg(F.min("sid").alias("hub"), F.count_distinct("identity").alias("identities"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    rarity = rarity.where((F.col("identities") <= max_identities) | F.col("form").rlike("^[ou]"))
-    edges = link.join(rarity.select("form", "hub"), "form").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = link.groupBy("form").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("form", "hub")
+    edges = link.join(hubs, "form").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
     whole = connected_components(edges)
     everything = forms.select("sid").distinct().join(whole.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("entity"))
     everything = cut(everything)

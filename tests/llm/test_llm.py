@@ -151,6 +151,18 @@ def test_names_are_linked(spark):
     assert link_names(df.limit(0)).count() == 0
 
 
+def test_names_of_many_spellings(spark):
+    one = ["Robert Ozrlamond", "Robert Orblamond", "Robert Orlvamond", "Robert Orlawmond", "Robert Orlampond", "Robert Orlamotnd", "Robert Orlamonkd", "Robert Orlamondg"]
+    ear = ["Zukurin Trust Bank", "Zuukurin Trust Bank", "Zukuurin Trust Bank", "Zoukurin Trust Bank", "Zuqurin Trust Bank", "Zukureen Trust Bank", "Zukourin Trust Bank", "Zukurinn Trust Bank"]
+    numbered = [f"Tamsin Fund {n}" for n in range(11, 20)] + [f"Lopez Circular {n}" for n in range(11, 14)]
+    # what the spellings of each have in common is one form alone
+    common = lambda names: [f for f in set.intersection(*({f for u, f, *_ in rewritings(s) if u == "link"} for s in names)) if f[0] not in "ou"]
+    assert common(one) == ["t:robert:orlamond"] and len({r[3] for s in ear for r in rewritings(s)}) > 6
+    df = spark.createDataFrame([(n,) for n in one + ear + numbered], "sid string")
+    pairs = {(r.name_a, r.name_b) for r in linked_pairs(link_names(df)).collect()}
+    assert pairs == {(a, b) for g in (one, ear) for a in g for b in g if a < b}
+
+
 def test_names_of_the_tables(spark, data):
     found = {(r.name_a, r.name_b) for r in Q.p2_found(spark, data).collect()}
     rows = spark.read.parquet(f"{data}/entities.parquet").where("entity_type in ('person', 'organization') and size(mentions) > 1").select("name", "mentions").distinct().collect()
