@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
@@ -233,19 +233,95 @@ def expand(seeds: DataFrame, edge_table: DataFrame, hops: int = 2, cap: int | No
 
 def shortest_path(pairs: DataFrame, edge_table: DataFrame, hops: int = 4) -> DataFrame:
     """(src, dst, path) along directed edges, of equally short ones the first by node ids; no row where none is found."""
-    e = edge_table.select(F.col("src").alias("at"), F.col("dst").alias("to")).where("at <> to").distinct()
-    walk = cut(pairs.select("src", "dst").distinct().withColumn("at", F.col("src")).withColumn("path", F.array("src")))
-    seen = cut(walk.select("src", "dst", "at"))
-    done = walk.where("at = dst")
-    walk = walk.where("at <> dst")
-    for _ in range(hops):
-        nxt = walk.join(e, "at").select("src", "dst", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path")).join(seen, ["src", "dst", "at"], "left_anti")
-        walk = cut(nxt.groupBy("src", "dst", "at").agg(F.min("path").alias("path")))
-        seen = cut(seen.unionAll(walk.select("src", "dst", "at")))
-        done = done.unionAll(walk.where("at = dst"))
-        finished = walk.where("at = dst").select("src", "dst")
-        walk = walk.join(finished, ["src", "dst"], "left_anti")
-    return done.select("src", "dst", "path")
+    ends = pairs.select("src", "dst")
+    return trails(ends.withColumnRenamed("dst", "key"), ends.select(F.col("dst").alias("key"), "dst"), edge_table, "key", hops)
+
+
+def trails(sources: DataFrame, targets: DataFrame, edge_table: DataFrame, key: str = "query_id", hops: int = 4) -> DataFrame:
+    """(src, dst, path) of the shortest path of at most ``hops`` edges from each source (key, src) to each target (key, dst)
+    of the same key; of equally short ones the first by node ids, no row where none is found.
+
+    Distances are searched backwards from the targets, 64 of them at once as the bits of a number, so that a hop has no more
+    rows than nodes and blocks of targets, however many pairs there are.  Paths then go from the source to the first by id of
+    the nearest neighbours; from there on they are found once for all sources.  Each hop is written to the checkpoint folder.
+    """
+    e = edge_table.select(F.col("src").alias("at"), F.col("dst").alias("to")).where("at <> to")
+    targets = targets.select(F.col(key).alias("key"), "dst").where("dst is not null")
+    # numbers are dense within a partition; they hold as they are written
+    numbered = cut(targets.select("dst").distinct().withColumn("n", F.monotonically_increasing_id()))
+    numbered = _small(numbered.select("dst", F.shiftright("n", 6).alias("block"), F.col("n").bitwiseAND(F.lit(63)).cast("int").alias("bit")))
+    bits = F.bit_or(F.expr("shiftleft(1L, bit)"))
+    by_key = targets.join(numbered, "dst").groupBy("key", "block").agg(bits.alias("bits"))
+    reach = numbered.groupBy(F.col("dst").alias("at"), "block").agg(bits.alias("b0"))
+
+    asked = sources.select(F.col(key).alias("key"), F.col("src").alias("at")).join(by_key, "key").groupBy("at", "block").agg(F.bit_or("bits").alias("asked"))
+    own = F.col("asked").bitwiseAND(F.coalesce("b0", F.lit(0).cast("bigint")))
+    asked = cut(asked.join(_small(reach), ["at", "block"], "left").select("at", "block", F.col("asked").bitwiseXOR(own).alias("asked"), own.alias("own")))
+    itself = asked.where("own <> 0").select("at", "block", _bits_of("own").alias("bit")).join(numbered, ["block", "bit"]).select(F.col("at").alias("src"), "dst", F.array("at").alias("path"))
+    asked = asked.where("asked <> 0").drop("own")
+
+    for hop in range(1, hops):
+        before = [F.col(f"b{k}") for k in range(hop)]
+        front = _small(reach.where(before[-1] != 0).select(F.col("at").alias("to"), "block", before[-1].alias("new")))
+        new = e.join(front, "to").select("at", "block", *[F.lit(0).cast("bigint").alias(f"b{k}") for k in range(hop)], "new")
+        both = reach.withColumn("new", F.lit(0).cast("bigint")).unionByName(new).groupBy("at", "block").agg(*[F.bit_or(c).alias(c) for c in (*reach.columns[2:], "new")])
+        seen = before[0]
+        for c in before[1:]:
+            seen = seen.bitwiseOR(c)
+        reach = cut(both.select("at", "block", *before, F.col("new").bitwiseAND(F.bitwise_not(seen)).alias(f"b{hop}")).where(seen.bitwiseOR(F.col("new")) != 0))
+
+    # what is more than an edge from the target goes on; the way on from there, from the last hop to the first
+    layers, further = [], None
+    if hops > 2:
+        far = F.col("b2")
+        for k in range(3, hops):
+            far = far.bitwiseOR(F.col(f"b{k}"))
+        ahead = asked.join(e, "at").groupBy(F.col("to").alias("at"), "block").agg(F.bit_or("asked").alias("asked"))
+        ahead = ahead.join(reach, ["at", "block"]).select("at", "block", F.col("asked").bitwiseAND(far).alias("asked")).where("asked <> 0")
+        for hop in range(2, hops):
+            layers.append(cut(_nearest(ahead, e, reach)))
+            ahead = layers[-1].where("d > 1").groupBy(F.col("to").alias("at"), "block").agg(bits.alias("asked"))
+    for layer in reversed(layers):
+        further = _with_rest(layer, further).select("at", "block", "bit", "way")
+    found = _with_rest(_nearest(asked, e, reach), further).join(numbered, ["block", "bit"])
+    return found.select(F.col("at").alias("src"), "dst", F.concat(F.array("at"), "way", F.array("dst")).alias("path")).unionAll(itself)
+
+
+def _small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """The rows with a hint to broadcast them where they are few; cheap for what was written by cut."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _bits_of(c: str) -> Column:
+    """The numbers of the bits of a bigint that are set, a row for each."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col(c), i) == 1))
+
+
+def _nearest(asked: DataFrame, e: DataFrame, reach: DataFrame) -> DataFrame:
+    """(at, block, bit, d, to): for each target that is asked (at, block, asked) the first by id of the neighbours that are nearest to it, and how far it is from there."""
+    levels = [c for c in reach.columns if c not in ("at", "block")]
+    j = asked.join(e, "at").join(reach.withColumnRenamed("at", "to"), ["to", "block"])
+    j = j.select("at", "block", "to", *[F.col("asked").bitwiseAND(F.col(c)).alias(c) for c in levels])
+    j = j.where(" or ".join(f"{c} <> 0" for c in levels))
+    w = Window.partitionBy("at", "block")
+    best = j.select("*", *[F.bit_or(c).over(w).alias(f"any_{c}") for c in levels])
+    # a target counts at the least distance that any neighbour has
+    nearer, hits, d = F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(None).cast("int")
+    for k, c in enumerate(levels):
+        hits = hits.bitwiseOR(F.col(c).bitwiseAND(F.bitwise_not(nearer)))
+        nearer = nearer.bitwiseOR(F.col(f"any_{c}"))
+        d = F.coalesce(d, F.when(F.getbit(F.col(c), F.col("bit")) == 1, k))
+    each = best.select("at", "block", "to", *levels, hits.alias("hits")).where("hits <> 0").select("at", "block", "to", *levels, _bits_of("hits").alias("bit"))
+    return each.groupBy("at", "block", "bit", d.alias("d")).agg(F.min("to").alias("to"))
+
+
+def _with_rest(step: DataFrame, further: DataFrame | None) -> DataFrame:
+    """The steps with ``way``, the nodes between ``at`` and the target; ``further`` has them from the next node on, where there are any."""
+    way = F.when(F.col("d") > 0, F.array("to")).otherwise(F.array().cast("array<string>"))
+    if further is None:
+        return step.withColumn("way", way)
+    rest = further.select(F.col("at").alias("to"), "block", "bit", F.col("way").alias("rest"))
+    return step.join(rest, ["to", "block", "bit"], "left").withColumn("way", F.concat(way, F.coalesce("rest", F.array().cast("array<string>"))))
 
 
 def graph_scores(candidates: DataFrame, links: DataFrame, wanted: DataFrame, across: DataFrame) -> DataFrame:

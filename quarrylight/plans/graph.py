@@ -171,14 +171,17 @@ def evidence_paths(spark, root):
 
 
 def shortest_path(spark, root):
-    """Trails from each retrieved chunk to the wanted entities of its query that it does not name itself."""
+    """Trails from each retrieved chunk to the wanted entities of its query that it does not name itself.
+
+    Edges to sections and documents are left out: none leads from there back to a chunk or an entity.
+    """
     e, c, r = _t(spark, root, "entities", "chunks", "retrieval_results")
     named = r.select("query_id", F.explode("connected_entities").alias("n")).select("query_id", F.lower("n").alias("name")).distinct()
-    wanted = named.join(G.name_index(e), "name").select("query_id", F.col("entity").alias("dst")).distinct()
-    edges = cut(graph_edges(spark, root))
-    pairs = r.select("query_id", F.col("chunk_id").alias("src")).distinct().join(wanted, "query_id").select("src", "dst").distinct()
-    pairs = cut(pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti"))
-    return G.shortest_path(pairs, edges).select("src", "dst", F.array_join("path", " > ").alias("path"))
+    wanted = cut(named.join(G.name_index(e), "name").select("query_id", F.col("entity").alias("dst")).distinct())
+    links = cut(G.mention_links(e, c)[0])
+    edges = links.select(F.col("chunk_id").alias("src"), F.col("entity").alias("dst")).unionAll(links.select("entity", "chunk_id")).unionAll(cut(G.relation_edges(e, table(spark, root, "relations")).select("src", "dst")))
+    found = G.trails(r.select("query_id", F.col("chunk_id").alias("src")), wanted, edges)
+    return found.where(F.size("path") != 2).select("src", "dst", F.array_join("path", " > ").alias("path"))
 
 
 QUERIES["shortest_path"] = shortest_path

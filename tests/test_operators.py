@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -19,6 +20,7 @@ from quarrylight.operators.doubling import reach
 from quarrylight.operators.references import normal_key, resolve_references
 from quarrylight.operators.retrieval import answers, fused
 from quarrylight.operators.scan import scan
+from quarrylight.session import ensure_checkpoint_dir
 
 
 def test_running_values_do_not_depend_on_blocks(spark):
@@ -186,6 +188,30 @@ def test_trails_between_what_is_not_adjacent(spark, data):
     assert got == want and got and all(p.count(" > ") > 1 for p in got.values())
 
 
+def test_paths_through_a_hub_are_not_searched_for_each_pair(spark):
+    rnd = random.Random(3)
+    into, out = [f"a{i}" for i in range(60)], [f"z{i}" for i in range(90)]
+    links = {(a, f"h{i % 2}") for i, a in enumerate(into)} | {("h0", z) for z in out[:70]} | {("h1", "h0"), ("h1", "z9"), ("h0", "a0"), ("z1", "z89"), ("z80", "z80")}
+    links |= {(rnd.choice(out), rnd.choice(into + out)) for _ in range(150)}
+    pairs = [(a, z) for a in into for z in out] + [("a1", "a1"), ("z3", "a0"), ("h0", "h0"), ("h0", "z5"), ("a1", "none"), ("none", "z1"), (None, "z1"), ("a1", None)]
+    want = {}
+    for src, dst in pairs:
+        ways = [[src]] if src and dst else []
+        for _ in range(5):
+            if found := [w for w in ways if w[-1] == dst]:
+                want[src, dst] = min(found)
+                break
+            ways = [[*w, y] for w in ways for x, y in links if x == w[-1] and y not in w]
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("part-*"))
+    before = size()
+    rows = G.shortest_path(spark.createDataFrame(pairs * 2, "src string, dst string"), spark.createDataFrame(sorted(links) + [("a1", None), (None, "z1")], "src string, dst string")).collect()
+    assert {(r.src, r.dst): r.path for r in rows} == want and len(rows) == len(want) > 5000 and {len(p) for p in want.values()} == {1, 2, 3, 4, 5}
+    # 17.5 MB with a row for each pair and node between
+    written = size() - before
+    assert written < 2e6, written
+
+
 def test_every_vector_is_scored(spark):
     v = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (7, [3.0, 3.0]), (9, None), (20, [0.0, 0.0])]
     df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>")
