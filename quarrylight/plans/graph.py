@@ -163,24 +163,30 @@ def neighbors_2hop(spark, root):
     return G.expand(seeds, graph_edges(spark, root), 2, skip=())
 
 
+def _trail_edges(spark, root):
+    """(entity, chunk_id) links, and the edges (src, dst) between chunks and entities.
+
+    Trails to entities need no others: from sections and documents no edge leads back to a chunk or an entity.
+    """
+    e, c, r = _t(spark, root, "entities", "chunks", "relations")
+    links = cut(G.mention_links(e, c)[0].select("entity", "chunk_id"))
+    between = cut(G.relation_edges(e, r).select("src", "dst"))
+    return links, links.select(F.col("chunk_id").alias("src"), F.col("entity").alias("dst")).unionAll(links).unionAll(between)
+
+
 @query(ALL + "SELECT chunk_id AS src, entity AS dst, chunk_id || ' > ' || entity AS path FROM links")
 def evidence_paths(spark, root):
-    edges = cut(graph_edges(spark, root))
-    pairs = edges.where("relation_type = 'mentions_entity'").select("src", "dst")
+    links, edges = _trail_edges(spark, root)
+    pairs = links.select(F.col("chunk_id").alias("src"), F.col("entity").alias("dst"))
     return G.shortest_path(pairs, edges, hops=1).select("src", "dst", F.array_join("path", " > ").alias("path"))
 
 
 def shortest_path(spark, root):
-    """Trails from each retrieved chunk to the wanted entities of its query that it does not name itself.
-
-    Edges to sections and documents are left out: none leads from there back to a chunk or an entity.
-    """
-    e, c, r = _t(spark, root, "entities", "chunks", "retrieval_results")
+    """Trails from each retrieved chunk to the wanted entities of its query that it does not name itself."""
+    e, r = _t(spark, root, "entities", "retrieval_results")
     named = r.select("query_id", F.explode("connected_entities").alias("n")).select("query_id", F.lower("n").alias("name")).distinct()
     wanted = cut(named.join(G.name_index(e), "name").select("query_id", F.col("entity").alias("dst")).distinct())
-    links = cut(G.mention_links(e, c)[0])
-    edges = links.select(F.col("chunk_id").alias("src"), F.col("entity").alias("dst")).unionAll(links.select("entity", "chunk_id")).unionAll(cut(G.relation_edges(e, table(spark, root, "relations")).select("src", "dst")))
-    found = G.trails(r.select("query_id", F.col("chunk_id").alias("src")), wanted, edges)
+    found = G.trails(r.select("query_id", F.col("chunk_id").alias("src")), wanted, _trail_edges(spark, root)[1])
     return found.where(F.size("path") != 2).select("src", "dst", F.array_join("path", " > ").alias("path"))
 
 
